@@ -67,10 +67,9 @@ def fill_alert(df: DataFrame, value: str = ALERT_MISSING) -> DataFrame:
     return df.withColumn("alert", F.coalesce(F.col("alert"), F.lit(value)))
 
 
-def clean(raw: DataFrame, medians: dict[str, float | None] | None = None) -> DataFrame:
-    """C1-C8, C12 in the catalogue's order.  Medians are computed from the
-    data unless given (e.g. when appending a month to an existing table)."""
-    df = (
+def clean_unfilled(raw: DataFrame) -> DataFrame:
+    """Everything before the fills (what the profiles look at)."""
+    return (
         raw.transform(add_time_parts)
         .transform(drop_empty)
         .transform(strip_place)
@@ -78,6 +77,12 @@ def clean(raw: DataFrame, medians: dict[str, float | None] | None = None) -> Dat
         .transform(lower_alert)
         .transform(cast_doubles)
     )
+
+
+def clean(raw: DataFrame, medians: dict[str, float | None] | None = None) -> DataFrame:
+    """C1-C8, C12 in the catalogue's order.  Medians are computed from the
+    data unless given (e.g. when appending a month to an existing table)."""
+    df = clean_unfilled(raw)
     if medians is None:
         medians = column_medians(df)
     return df.transform(fill_medians, medians).transform(fill_alert)

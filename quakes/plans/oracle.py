@@ -117,7 +117,8 @@ quake AS (
     CASE WHEN e % 28 = 0 THEN NULL ELSE CAST(e % 1000 AS DOUBLE) / 100 END AS dmin,
     CASE WHEN e % 101 = 0 THEN NULL ELSE CAST(e * 7 % 150 AS DOUBLE) / 100 END AS rms,
     CASE WHEN e % 37 = 0 THEN NULL ELSE CAST(e % 360 AS DOUBLE) END AS gap,
-    CASE WHEN k = 99 THEN 'volcanic eruption' WHEN k = 98 THEN 'landslide' ELSE 'earthquake' END AS type
+    CASE WHEN k = 99 THEN 'volcanic eruption' WHEN k = 98 THEN 'landslide' ELSE 'earthquake' END AS type,
+    CAST(NULL AS DOUBLE) AS magerror, CAST(NULL AS BIGINT) AS magnst, CAST(NULL AS DOUBLE) AS deptherror
   FROM ev2
 ),
 stripped AS (
@@ -260,3 +261,84 @@ WHERE gap_s <= 3600 AND distance_km <= 50""",
 
 def query_sql(key: str) -> str:
     return base_ctes() + "\n" + QUERY_SQL[key]
+
+
+# ---- operator-level checks -------------------------------------------------
+
+def _eq_select(cols_types, source: str) -> str:
+    parts = []
+    for name, is_double in cols_types:
+        parts.append(f"{r(name)} AS {name}" if is_double else name)
+    return f"SELECT {', '.join(parts)} FROM {source}"
+
+
+def _eq_cols():
+    from pyspark.sql import types as T
+
+    from quakes.schema import EQ
+
+    return [(f.name, isinstance(f.dataType, T.DoubleType)) for f in EQ.fields]
+
+
+def _raw_cols(ms_times: bool = False):
+    from pyspark.sql import types as T
+
+    from quakes.schema import RAW
+
+    out = []
+    for f in RAW.fields:
+        if ms_times and f.name in ("time", "updated"):
+            out.append((f"make_timestamp(epoch_us({f.name}) // 1000 * 1000) AS {f.name}", False))
+        else:
+            out.append((f.name, isinstance(f.dataType, T.DoubleType)))
+    return out
+
+
+def _long_union(cols: list[str], source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS col_name, CAST({c} AS DOUBLE) AS value FROM {source} WHERE {c} IS NOT NULL" for c in cols
+    )
+
+
+_PROFILE = ["mmi", "rms", "dmin", "gap", "nst", "cdi", "felt"]
+
+
+def operator_sql() -> dict[str, str]:
+    from quakes.schema import RAW
+
+    null_counts = " UNION ALL ".join(
+        f"SELECT '{f.name}' AS col_name, count(*) FILTER (WHERE {f.name} IS NULL) AS null_count FROM quake"
+        for f in RAW.fields
+    )
+    return {
+        "eq_table": _eq_select(_eq_cols(), "eq"),
+        "s7_csv_roundtrip": _eq_select(_eq_cols(), "eq"),
+        "s1_feed_roundtrip": _eq_select(_raw_cols(ms_times=True), "quake"),
+        "s2_month_windows": """SELECT CAST(w.ws AS DATE) AS window_start, CAST(w.ws + INTERVAL 1 MONTH AS DATE) AS window_end,
+  coalesce(c.events, 0) AS events
+FROM (SELECT ws FROM (SELECT min(year(time)) AS s, max(year(time)) AS e FROM quake) yr,
+      generate_series(make_date(yr.s, 1, 1), make_date(yr.e, 12, 1), INTERVAL 1 MONTH) AS g(ws)) w
+LEFT JOIN (SELECT CAST(date_trunc('month', time) AS DATE) AS ws, count(*) AS events FROM quake WHERE mag >= 3 GROUP BY 1) c
+  ON CAST(w.ws AS DATE) = c.ws""",
+        "c8_medians": "SELECT " + ", ".join(f"{r('median(' + c + ')')} AS {c}" for c in _PROFILE) + " FROM clean0",
+        "c9_modes": f"""SELECT col_name, {r('value')} AS value, count FROM (
+  SELECT col_name, value, count, max(count) OVER (PARTITION BY col_name) AS mx FROM (
+    SELECT col_name, value, count(*) AS count FROM ({_long_union(_PROFILE, 'clean0')}) GROUP BY col_name, value))
+WHERE count = mx""",
+        "c10_alert_counts": "SELECT lower(alert) AS alert, count(*) AS count FROM quake WHERE alert IS NOT NULL GROUP BY 1",
+        "c11_null_counts": null_counts,
+        "c13_describe": f"""SELECT col_name, count(*) AS count, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS std,
+  {r('min(value)')} AS min, {r('quantile_cont(value, 0.25)')} AS p25, {r('quantile_cont(value, 0.5)')} AS p50,
+  {r('quantile_cont(value, 0.75)')} AS p75, {r('max(value)')} AS max
+FROM ({_long_union(_PROFILE, 'clean0')}) GROUP BY col_name""",
+        "d_continent_lookup": "SELECT country, continent FROM lookup",
+        "r2_numbered_q12": f"""SELECT row_number() OVER (ORDER BY estimated_loss DESC, continent) AS S_No, continent, estimated_loss
+FROM (SELECT continent, CAST(sum({_weights('EQ_intensity', LOSS_WEIGHTS)}) AS BIGINT) AS estimated_loss FROM eq GROUP BY continent)""",
+    }
+
+
+def all_sql() -> dict[str, str]:
+    base = base_ctes()
+    out = {key: base + "\n" + body for key, body in QUERY_SQL.items()}
+    out.update({key: base + "\n" + body for key, body in operator_sql().items()})
+    return out

@@ -1,5 +1,10 @@
 """Driver-facing registry: name -> (spark, sf_dir) -> DataFrame, and the
-matching DuckDB SQL.  Double columns are rounded to the oracle's digits."""
+matching DuckDB SQL.  Double columns are rounded to the oracle's digits.
+
+Besides the 31 catalogue questions, the cleaning, enrichment, profile,
+source and sink operators are registered on their own, each over the whole
+quake view derived from ``events``.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quakes.operators import profile
+from quakes.operators.clean import clean, clean_unfilled, lower_alert
+from quakes.operators.enrich import continent_lookup
 from quakes.plans import catalog, oracle
 from quakes.plans.pipeline import eq_table
+from quakes.schema import EQ
+from quakes.session import table_dir
+from quakes.sources import feed
+from quakes.sources.fixture import quake_raw
+from quakes.sources.table import read_csv, write_csv
 
 
 def round_doubles(df: DataFrame, digits: int = oracle.DIGITS) -> DataFrame:
@@ -31,10 +44,69 @@ def _catalog_query(q: catalog.NamedQuery) -> Callable[[SparkSession, str], DataF
     return run
 
 
+def _eq(spark, sf_dir):
+    return eq_table(spark, sf_dir)
+
+
+def _csv_roundtrip(spark, sf_dir):
+    path = table_dir(spark, sf_dir, "eq_csv")
+    write_csv(eq_table(spark, sf_dir), path)
+    return read_csv(spark, path, EQ)
+
+
+def _feed_roundtrip(spark, sf_dir):
+    path = table_dir(spark, sf_dir, "feed_landing")
+    feed.write_features(quake_raw(spark, sf_dir), path)
+    return feed.flatten(feed.read_features(spark, path))
+
+
+def _month_windows(spark, sf_dir):
+    raw = quake_raw(spark, sf_dir)
+    bounds = raw.agg(F.min(F.year("time")).alias("s"), F.max(F.year("time")).alias("e"))
+    return feed.window_counts(raw, feed.windows_between(bounds, F.col("s"), F.col("e")))
+
+
+def _medians(spark, sf_dir):
+    df = clean_unfilled(quake_raw(spark, sf_dir))
+    return df.agg(*[F.median(c).alias(c) for c in profile.PROFILE_COLUMNS])
+
+
+def _lookup(spark, sf_dir):
+    return continent_lookup(clean(quake_raw(spark, sf_dir)).select("country"))
+
+
+def _numbered_q12(spark, sf_dir):
+    q12 = catalog.q12_loss_continent(eq_table(spark, sf_dir))
+    return catalog.numbered(q12, F.desc("estimated_loss"), F.asc("continent"))
+
+
+OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "eq_table": _eq,
+    "s7_csv_roundtrip": _csv_roundtrip,
+    "s1_feed_roundtrip": _feed_roundtrip,
+    "s2_month_windows": _month_windows,
+    "c8_medians": _medians,
+    "c9_modes": lambda spark, d: profile.modes(clean_unfilled(quake_raw(spark, d))),
+    "c10_alert_counts": lambda spark, d: profile.value_counts(lower_alert(quake_raw(spark, d)), "alert"),
+    "c11_null_counts": lambda spark, d: profile.null_counts(quake_raw(spark, d)),
+    "c13_describe": lambda spark, d: profile.describe(clean_unfilled(quake_raw(spark, d))),
+    "d_continent_lookup": _lookup,
+    "r2_numbered_q12": _numbered_q12,
+}
+
+
+def _rounded(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_doubles(fn(spark, sf_dir))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {q.key: _catalog_query(q) for q in catalog.CATALOG}
+    out.update({k: _rounded(fn) for k, fn in OPERATORS.items()})
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: oracle.query_sql(key) for key in oracle.QUERY_SQL}
+    return oracle.all_sql()

@@ -8,14 +8,24 @@ from quakes.schema import EQ
 from quakes.session import table_dir
 
 
+# Full microsecond precision for timestamps in CSV (Spark's default keeps ms).
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header row, no index column."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("timestampNTZFormat", TS_FORMAT).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema=EQ) -> DataFrame:
     """CSV scan with a fixed schema (never inferred)."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("mode", "FAILFAST")
+        .option("timestampNTZFormat", TS_FORMAT)
+        .csv(path)
+    )
 
 
 def save_table(df: DataFrame, path: str | None = None, name: str = "eq_data", partition_by=("year",)) -> DataFrame:
