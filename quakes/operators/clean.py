@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakes.functions.rules import ALERT_MISSING, DOUBLE_COLUMNS, EMPTY_COLUMNS, MEDIAN_FILL_COLUMNS
-from quakes.functions.text import country_of, strip_ws
+from quakes.functions.text import country_of, last_comma_part, strip_ws
 from quakes.functions.timeparts import time_parts
 
 
@@ -28,9 +28,15 @@ def strip_place(df: DataFrame) -> DataFrame:
     return df.withColumn("place", strip_ws(F.col("place")))
 
 
-def add_country(df: DataFrame) -> DataFrame:
-    """C4 + C5: last comma part of the place, then the ordered rewrites."""
-    return df.withColumn("country", country_of(F.col("place")))
+def add_country(df: DataFrame, rewrite: bool = True) -> DataFrame:
+    """C4 + C5: last comma part of the place, then the ordered rewrites.
+
+    ``rewrite=False`` stops after C4; the pipeline then applies C5 once per
+    distinct text inside the country lookup (``enrich.country_lookup``).
+    """
+    if rewrite:
+        return df.withColumn("country", country_of(F.col("place")))
+    return df.withColumn("country", last_comma_part(F.col("place")))
 
 
 def lower_alert(df: DataFrame) -> DataFrame:
@@ -67,22 +73,22 @@ def fill_alert(df: DataFrame, value: str = ALERT_MISSING) -> DataFrame:
     return df.withColumn("alert", F.coalesce(F.col("alert"), F.lit(value)))
 
 
-def clean_unfilled(raw: DataFrame) -> DataFrame:
+def clean_unfilled(raw: DataFrame, rewrite: bool = True) -> DataFrame:
     """Everything before the fills (what the profiles look at)."""
     return (
         raw.transform(add_time_parts)
         .transform(drop_empty)
         .transform(strip_place)
-        .transform(add_country)
+        .transform(add_country, rewrite)
         .transform(lower_alert)
         .transform(cast_doubles)
     )
 
 
-def clean(raw: DataFrame, medians: dict[str, float | None] | None = None) -> DataFrame:
+def clean(raw: DataFrame, medians: dict[str, float | None] | None = None, rewrite: bool = True) -> DataFrame:
     """C1-C8, C12 in the catalogue's order.  Medians are computed from the
     data unless given (e.g. when appending a month to an existing table)."""
-    df = clean_unfilled(raw)
+    df = clean_unfilled(raw, rewrite)
     if medians is None:
         medians = column_medians(df)
     return df.transform(fill_medians, medians).transform(fill_alert)

@@ -13,11 +13,14 @@ the rows with a size-checked broadcast join (D8).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quakes.functions.classes import depth_class, mag_class
 from quakes.functions.gazetteer import EXACT_POINTS, GAZETTEER_DDL, PARTIAL_FLOOR, PARTIAL_TOP, gazetteer_rows
+from quakes.functions.text import apply_rewrites
 from quakes.functions.rules import OCEAN_LABEL, OCEAN_WORDS, UNKNOWN_LABEL, keyword_rows
 from quakes.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 
@@ -29,12 +32,19 @@ def add_classes(df: DataFrame) -> DataFrame:
     return df.withColumns({"EQ_type": depth_class(F.col("depth_km")), "EQ_intensity": mag_class(F.col("mag"))})
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Fixed, bounded table from Python data via Arrow (decoded in the JVM)."""
+    schema = T.StructType.fromDDL(ddl)
+    pdf = pd.DataFrame.from_records(rows, columns=schema.fieldNames())
+    return spark.createDataFrame(pdf, schema)
+
+
 def gazetteer_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(gazetteer_rows(), GAZETTEER_DDL)
+    return _small_table(spark, gazetteer_rows(), GAZETTEER_DDL)
 
 
 def keyword_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(keyword_rows(), KEYWORD_DDL)
+    return _small_table(spark, keyword_rows(), KEYWORD_DDL)
 
 
 def distinct_countries(df: DataFrame) -> DataFrame:
@@ -57,12 +67,13 @@ def gazetteer_continent(countries: DataFrame) -> DataFrame:
     name_pos = F.instr(g.g_name, lc)
     off_pos = F.instr(g.g_official, lc)
     cond = (lc != "") & (exact | (name_pos > 0) | (F.coalesce(off_pos, F.lit(0)) > 0))
+    keep = countries.columns
     matched = countries.join(g, cond, "left")
     points = F.when(exact, F.lit(EXACT_POINTS)).otherwise(0) + (
         F.when(name_pos > 0, _partial_points(name_pos)).when(off_pos > 0, _partial_points(off_pos)).otherwise(0)
     )
     best = F.struct(points.alias("pts"), (-F.col("g_ord")).alias("neg_ord"))
-    return matched.groupBy("country").agg(
+    return matched.groupBy(*keep).agg(
         F.max_by(F.col("g_continent"), F.when(F.col("g_ord").isNotNull(), best)).alias("gaz_continent")
     )
 
@@ -83,9 +94,8 @@ def is_ocean(country) -> F.Column:
     return F.exists(F.array(*[F.lit(w) for w in OCEAN_WORDS]), lambda w: F.instr(lc, w) > 0)
 
 
-def continent_lookup(countries: DataFrame) -> DataFrame:
-    """One row per distinct country -> continent."""
-    d = distinct_countries(countries)
+def _resolve(d: DataFrame) -> DataFrame:
+    """D4-D7 on a table with one row per key and a ``country`` column."""
     merged = keyword_continent(gazetteer_continent(d))
     continent = (
         F.when(F.col("country").isNull(), F.lit(UNKNOWN_LABEL))
@@ -94,7 +104,22 @@ def continent_lookup(countries: DataFrame) -> DataFrame:
         .when(is_ocean(F.col("country")), F.lit(OCEAN_LABEL))
         .otherwise(F.lit(UNKNOWN_LABEL))
     )
-    return merged.select("country", continent.alias("continent"))
+    return merged.select(*d.columns, continent.alias("continent"))
+
+
+def continent_lookup(countries: DataFrame) -> DataFrame:
+    """One row per distinct country -> continent."""
+    return _resolve(distinct_countries(countries))
+
+
+def country_lookup(extracted: DataFrame) -> DataFrame:
+    """C5 + D3-D7 per distinct extracted text: (country_raw, country, continent).
+
+    The 27 rewrite patterns and the keyword / gazetteer matching then run once
+    per distinct text instead of once per row.
+    """
+    d = extracted.select(F.col("country").alias("country_raw")).distinct()
+    return _resolve(d.select("country_raw", apply_rewrites(F.col("country_raw")).alias("country")))
 
 
 def map_continent(df: DataFrame, lookup: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -102,3 +127,19 @@ def map_continent(df: DataFrame, lookup: DataFrame, max_broadcast_rows: int = MA
     lk = lookup.where(F.col("country").isNotNull()).withColumnRenamed("country", "_lk_country")
     joined = lookup_join(df, lk, df.country == lk._lk_country, "left", max_broadcast_rows)
     return joined.withColumn("continent", F.coalesce(F.col("continent"), F.lit(UNKNOWN_LABEL))).drop("_lk_country")
+
+
+def map_country(df: DataFrame, lookup: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """C5 + D8 from a ``country_lookup``: rewritten country and continent per row."""
+    lk = lookup.where(F.col("country_raw").isNotNull()).select(
+        F.col("country_raw").alias("_lk_raw"),
+        F.col("country").alias("_lk_country"),
+        F.col("continent").alias("_lk_continent"),
+    )
+    joined = lookup_join(df, lk, df.country == lk._lk_raw, "left", max_broadcast_rows)
+    return joined.withColumns(
+        {
+            "country": F.when(F.col("_lk_raw").isNotNull(), F.col("_lk_country")).otherwise(F.col("country")),
+            "continent": F.coalesce(F.col("_lk_continent"), F.lit(UNKNOWN_LABEL)),
+        }
+    ).drop("_lk_raw", "_lk_country", "_lk_continent")

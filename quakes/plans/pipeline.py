@@ -16,7 +16,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from quakes.operators.clean import clean
-from quakes.operators.enrich import add_classes, continent_lookup, map_continent
+from quakes.operators.enrich import add_classes, country_lookup, map_country
 from quakes.operators.joins import MAX_BROADCAST_ROWS
 from quakes.schema import EQ_COLUMNS
 from quakes.sources.fixture import quake_raw
@@ -26,16 +26,17 @@ from quakes.session import apply_conf, path_exists, table_dir
 
 
 def enrich(df: DataFrame, *cache_key: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """D1-D8 on a cleaned frame.  The lookup is materialised before use so the
-    broadcast decision is made on its real size."""
+    """C5 + D1-D8 on a cleaned frame whose ``country`` is the extracted text
+    (``clean(..., rewrite=False)``).  The lookup (one row per distinct text)
+    is materialised before use so the broadcast decision sees its real size."""
     classed = add_classes(df)
-    lookup = materialize(continent_lookup(classed.select("country")), *cache_key, "continent_lookup")
-    return map_continent(classed, lookup, max_broadcast_rows).select(*EQ_COLUMNS)
+    lookup = materialize(country_lookup(classed.select("country")), *cache_key, "country_lookup")
+    return map_country(classed, lookup, max_broadcast_rows).select(*EQ_COLUMNS)
 
 
 def build_eq(raw: DataFrame, *cache_key: str, medians: dict | None = None) -> DataFrame:
     """Lazy EQ frame (the median and lookup jobs run eagerly)."""
-    return enrich(clean(raw, medians), *cache_key)
+    return enrich(clean(raw, medians, rewrite=False), *cache_key)
 
 
 _TABLES: dict[tuple[str, str], str] = {}

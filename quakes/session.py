@@ -17,8 +17,15 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Small fixed tables are shipped as Arrow batches (no Python worker).
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Whole-stage codegen emits large methods for the wide cleaning projection;
+# let HotSpot JIT-compile them (its default skips methods over 8 KB of
+# bytecode, which leaves them interpreted).  Set on executors of a cluster too.
+JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "quakes") -> SparkSession:
     """Local session for tests, bench and scripts (clusters bring their own)."""
@@ -29,6 +36,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("QUAKES_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
+        .config("spark.executor.extraJavaOptions", JVM_OPTIONS)
     )
     for k, v in SESSION_CONF.items():
         b = b.config(k, v)
