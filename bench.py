@@ -26,19 +26,30 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
 
     from quakes.plans import catalog
-    from quakes.plans.pipeline import eq_table
-    from quakes.session import build_session
+    from quakes.plans.pipeline import build_eq, eq_table
+    from quakes.session import build_session, table_dir
+    from quakes.sources.fixture import quake_raw
+    from quakes.sources.table import save_table
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app="quakes-bench")
     # JVM / codegen warm-up on an unrelated read, so the ETL time is the ETL.
     spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count().collect()
 
+    # Cold ETL: the first run in a fresh JVM (class loading, codegen, JIT).
     t0 = time.perf_counter()
     eq = eq_table(spark, sf_dir)
     rows = eq.count()
-    etl = time.perf_counter() - t0
+    etl_cold = time.perf_counter() - t0
 
-    times: dict[str, float] = {"etl": round(etl, 4)}
+    # Warm ETL: the same three jobs again, written to a separate table.
+    etl_samples = []
+    for i in range(max(1, runs - 1)):
+        t0 = time.perf_counter()
+        key = f"{sf_dir}#bench{i}"
+        save_table(build_eq(quake_raw(spark, sf_dir), key), table_dir(spark, key, "eq_data"), name="eq_bench").count()
+        etl_samples.append(time.perf_counter() - t0)
+
+    times: dict[str, float] = {"etl": round(statistics.median(etl_samples), 4)}
     for q in catalog.CATALOG:
         q.fn(eq).collect()  # warm-up (also warms the Python workers for q29)
         samples = []
@@ -59,6 +70,8 @@ def main() -> None:
                 "queries": times,
                 "sf": float(m.group(1)) if m else sf_dir,
                 "rows": rows,
+                "etl_cold_sec": round(etl_cold, 4),
+                "method": f"median of {runs} runs after a warm-up run; etl = warm rebuild (median)",
                 "cpus": cpus,
                 "spark": spark.version,
             }

@@ -167,11 +167,17 @@ def q21_top_avg_mag(eq: DataFrame, n: int = 5) -> DataFrame:
 
 
 def q22_shallow_and_deep(eq: DataFrame) -> DataFrame:
+    # HAVING count(DISTINCT EQ_type) = 2 over rows filtered to two values is
+    # "both values present": one partial+final aggregate (a distinct count
+    # would add a second shuffle on (group, EQ_type)).
     return (
         eq.where(F.col("EQ_type").isin("Shallow", "Deep"))
         .groupBy("month", "year", "country")
-        .agg(F.count_distinct("EQ_type").alias("_n"))
-        .where(F.col("_n") == 2)
+        .agg(
+            F.bool_or(F.col("EQ_type") == "Shallow").alias("_s"),
+            F.bool_or(F.col("EQ_type") == "Deep").alias("_d"),
+        )
+        .where(F.col("_s") & F.col("_d"))
         .select("country", "month", "year")
         .orderBy("year")
     )

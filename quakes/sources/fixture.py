@@ -37,11 +37,8 @@ TYPES = [",origin,phase-data,", ",dyfi,origin,phase-data,", ",moment-tensor,orig
 
 
 def _pick(values: list[str], idx: Column) -> Column:
-    """CASE idx WHEN 0 THEN values[0] ... END (null outside)."""
-    expr = F.when(idx == 0, F.lit(values[0]))
-    for i, v in enumerate(values[1:], start=1):
-        expr = expr.when(idx == i, F.lit(v))
-    return expr
+    """values[idx] (0-based), null outside the list."""
+    return F.get(F.array(*[F.lit(v) for v in values]), idx.cast("int"))
 
 
 def _null_if(cond: Column, value: Column) -> Column:

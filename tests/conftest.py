@@ -15,7 +15,7 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from quakes.session import JVM_OPTIONS, apply_conf
+    from quakes.session import JVM_OPTIONS, apply_conf, checkpoint_dir
 
     s = (
         SparkSession.builder.master("local[*]")
@@ -24,12 +24,11 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
-        # tests own their checkpoint folder (a cluster names a shared one)
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quakes-test-ckpt-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     apply_conf(s)
+    checkpoint_dir(s)  # the session's folder; a local temp one only when unset
     yield s
     s.stop()
 
