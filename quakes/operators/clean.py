@@ -50,14 +50,24 @@ def cast_doubles(df: DataFrame, cols: list[str] = DOUBLE_COLUMNS, strict: bool =
     return df.withColumns({c: conv(c) for c in cols})
 
 
-def column_medians(df: DataFrame, cols: list[str] = MEDIAN_FILL_COLUMNS) -> dict[str, float | None]:
+def column_medians(
+    df: DataFrame, cols: list[str] = MEDIAN_FILL_COLUMNS, approx_accuracy: int | None = None
+) -> dict[str, float | None]:
     """Exact medians of non-null values (midpoint of the two middle values).
 
     One aggregate for all columns.  Spark's exact percentile keeps a
     value -> count map per partial aggregate, so the buffer is bounded by the
-    number of distinct values per column (coarse measurements), not by rows.
+    number of distinct values per column (instrument resolution: station
+    counts, degrees, 2-4 decimal residuals), not by rows.  For a column of
+    unbounded resolution pass ``approx_accuracy`` (e.g. 100000): a fixed-size
+    sketch per task, relative rank error 1/accuracy (then the lower middle
+    value is returned, not the midpoint).
     """
-    row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    if approx_accuracy:
+        aggs = [F.percentile_approx(F.col(c).cast("double"), 0.5, approx_accuracy).alias(c) for c in cols]
+    else:
+        aggs = [F.median(F.col(c).cast("double")).alias(c) for c in cols]
+    row = df.agg(*aggs).first()
     return {c: row[c] for c in cols}
 
 

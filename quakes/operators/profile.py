@@ -51,9 +51,16 @@ def null_counts(df: DataFrame) -> DataFrame:
     return one.unpivot([], df.columns, "col_name", "null_count")
 
 
-def describe(df: DataFrame, cols: list[str] = PROFILE_COLUMNS) -> DataFrame:
-    """Count, mean, std, min, quartiles (exact, interpolated), max per column."""
-    q = F.percentile(F.col("value"), [0.25, 0.5, 0.75])
+def describe(df: DataFrame, cols: list[str] = PROFILE_COLUMNS, approx_accuracy: int | None = None) -> DataFrame:
+    """Count, mean, std, min, quartiles (exact, interpolated), max per column.
+
+    Exact quartiles hold a value -> count map per column (bounded by the
+    column's resolution); ``approx_accuracy`` switches to a fixed-size sketch.
+    """
+    if approx_accuracy:
+        q = F.percentile_approx(F.col("value"), [0.25, 0.5, 0.75], approx_accuracy)
+    else:
+        q = F.percentile(F.col("value"), [0.25, 0.5, 0.75])
     return (
         _long(df, cols)
         .groupBy("col_name")

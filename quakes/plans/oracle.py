@@ -320,6 +320,12 @@ FROM (SELECT ws FROM (SELECT min(year(time)) AS s, max(year(time)) AS e FROM qua
       generate_series(make_date(yr.s, 1, 1), make_date(yr.e, 12, 1), INTERVAL 1 MONTH) AS g(ws)) w
 LEFT JOIN (SELECT CAST(date_trunc('month', time) AS DATE) AS ws, count(*) AS events FROM quake WHERE mag >= 3 GROUP BY 1) c
   ON CAST(w.ws AS DATE) = c.ws""",
+        "c5_country_rows": "SELECT id, place, country FROM clean0",
+        "s3_source_filter": _eq_select(_raw_cols(), "quake")
+        + " WHERE time >= TIMESTAMP '2019-01-01' AND time < TIMESTAMP '2023-01-01' AND mag >= 3",
+        "stream_ingest": _eq_select(_raw_cols(ms_times=True), "quake").replace(" FROM quake", "")
+        + ", CAST(year(make_timestamp(epoch_us(time) // 1000 * 1000)) AS INTEGER) AS year"
+        + ", CAST(month(make_timestamp(epoch_us(time) // 1000 * 1000)) AS INTEGER) AS month FROM quake",
         "c8_medians": "SELECT " + ", ".join(f"{r('median(' + c + ')')} AS {c}" for c in _PROFILE) + " FROM clean0",
         "c9_modes": f"""SELECT col_name, {r('value')} AS value, count FROM (
   SELECT col_name, value, count, max(count) OVER (PARTITION BY col_name) AS mx FROM (

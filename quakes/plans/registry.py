@@ -8,6 +8,7 @@ quake view derived from ``events``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from quakes.operators.clean import clean, clean_unfilled, lower_alert
 from quakes.operators.enrich import continent_lookup
 from quakes.plans import catalog, oracle
 from quakes.plans.pipeline import eq_table
-from quakes.schema import EQ
+from quakes.schema import EQ, RAW_COLUMNS
 from quakes.session import table_dir
 from quakes.sources import feed
 from quakes.sources.fixture import quake_raw
@@ -66,6 +67,27 @@ def _month_windows(spark, sf_dir):
     return feed.window_counts(raw, feed.windows_between(bounds, F.col("s"), F.col("e")))
 
 
+def _country_rows(spark, sf_dir):
+    """C3-C5 evaluated per row (the stand-alone cleaning path)."""
+    return clean_unfilled(quake_raw(spark, sf_dir)).select("id", "place", "country")
+
+
+def _source_filter(spark, sf_dir):
+    return feed.source_filter(quake_raw(spark, sf_dir), "2019-01-01", "2023-01-01", 3.0)
+
+
+def _stream_ingest(spark, sf_dir):
+    """Land the quake view as feature files, ingest them with the stream."""
+    from quakes.streaming.ingest import ingest_pages
+
+    run = uuid.uuid4().hex[:8]  # each call lands and ingests into fresh folders
+    land = table_dir(spark, sf_dir, run, "stream_landing")
+    out = table_dir(spark, sf_dir, run, "stream_raw")
+    feed.write_features(quake_raw(spark, sf_dir), land)
+    ingest_pages(spark, land, out, checkpoint=table_dir(spark, sf_dir, run, "stream_ckpt"), pages=False)
+    return spark.read.parquet(out).select(*RAW_COLUMNS, "year", "month")
+
+
 def _medians(spark, sf_dir):
     df = clean_unfilled(quake_raw(spark, sf_dir))
     return df.agg(*[F.median(c).alias(c) for c in profile.PROFILE_COLUMNS])
@@ -85,6 +107,9 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s7_csv_roundtrip": _csv_roundtrip,
     "s1_feed_roundtrip": _feed_roundtrip,
     "s2_month_windows": _month_windows,
+    "c5_country_rows": _country_rows,
+    "s3_source_filter": _source_filter,
+    "stream_ingest": _stream_ingest,
     "c8_medians": _medians,
     "c9_modes": lambda spark, d: profile.modes(clean_unfilled(quake_raw(spark, d))),
     "c10_alert_counts": lambda spark, d: profile.value_counts(lower_alert(quake_raw(spark, d)), "alert"),

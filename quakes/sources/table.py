@@ -68,3 +68,13 @@ def materialize(df: DataFrame, *key: str) -> DataFrame:
     path = table_dir(spark, *key)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def save_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], mode: str = "overwrite") -> None:
+    """S8 towards a SQL server: replace ``table`` over JDBC.
+
+    Credentials come from the caller (never from this repository).  Partitions
+    write in parallel; ``batchsize`` and ``numPartitions`` in ``properties``
+    bound the load on the server.
+    """
+    df.write.mode(mode).jdbc(url, table, properties=properties)
