@@ -129,14 +129,16 @@ def consecutive_pairs(
     at most ``max_seconds`` apart and at most ``max_km`` apart."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ev = df.where(F.col("time").isNotNull()).select(
         F.col("id"),
         epoch_micros(F.col("time")).alias("t"),
         F.col("latitude").alias("lat"),
         F.col("longitude").alias("lon"),
     )
-    ordered = ev.repartitionByRange(n, "t", "id").sortWithinPartitions("t", "id")
+    # Without a fixed count AQE sizes the slices (coalescing keeps adjacent
+    # ranges together, so every slice is still one contiguous range).
+    ranged = ev.repartitionByRange(slices, "t", "id") if slices else ev.repartitionByRange("t", "id")
+    ordered = ranged.sortWithinPartitions("t", "id")
     cand = ordered.mapInPandas(_slice_neighbours(int(max_seconds * 1_000_000)), _OUT)
     dist = haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
     cand = cand.where((F.col("kind") != "pair") | (dist <= max_km)).checkpoint(eager=True)
