@@ -34,9 +34,21 @@ def enrich(df: DataFrame, *cache_key: str, max_broadcast_rows: int = MAX_BROADCA
     return map_country(classed, lookup, max_broadcast_rows).select(*EQ_COLUMNS)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an input that arrives in fewer splits than there are cores.
+
+    A large input already comes in thousands of splits and passes unchanged;
+    a few small or unsplittable files (one Parquet row group, a gzipped page)
+    would otherwise run the whole row-wise cleaning in a handful of tasks.
+    Projections are pushed below the repartition, so only needed columns move.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def build_eq(raw: DataFrame, *cache_key: str, medians: dict | None = None) -> DataFrame:
     """Lazy EQ frame (the median and lookup jobs run eagerly)."""
-    return enrich(clean(raw, medians, rewrite=False), *cache_key)
+    return enrich(clean(spread(raw), medians, rewrite=False), *cache_key)
 
 
 _TABLES: dict[tuple[str, str], str] = {}
