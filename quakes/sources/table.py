@@ -28,16 +28,26 @@ def read_csv(spark: SparkSession, path: str, schema=EQ) -> DataFrame:
     )
 
 
-def save_table(df: DataFrame, path: str | None = None, name: str = "eq_data", partition_by=("year",)) -> DataFrame:
+def save_table(
+    df: DataFrame,
+    path: str | None = None,
+    name: str = "eq_data",
+    partition_by=("year",),
+    rebalance: bool = False,
+) -> DataFrame:
     """Replace the EQ table.
 
-    ``rebalance`` on the partition column lets AQE cut the write into evenly
-    sized files per year (no tiny files, no giant skewed task).  With a path,
-    the table is Parquet files there, registered as a temp view; without one,
-    it is a managed table in the session catalog.
+    By default the write is narrow: each task sorts its rows by the partition
+    column and writes one file per year it holds (no exchange of the fact
+    table).  Feeds land in time order, so a task usually holds one year.
+    ``rebalance=True`` adds AQE's rebalance (one shuffle of the table) to even
+    out file sizes when tasks hold many years in small pieces.
+    With a path the table is Parquet files there, registered as a temp view;
+    without one, a managed table in the session catalog.
     """
     spark = df.sparkSession
-    w = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
+    src = df.hint("rebalance", *partition_by) if rebalance else df
+    w = src.write.mode("overwrite").partitionBy(*partition_by)
     if path is None:
         spark.sql("CREATE SCHEMA IF NOT EXISTS default")
         w.format("parquet").saveAsTable(name)
