@@ -6,7 +6,8 @@ Three jobs at any scale:
    the shared checkpoint folder, a few hundred rows in practice),
 3. the final projection + size-checked broadcast join, written as Parquet
    partitioned by year.
-Fact rows are never shuffled before the final write.
+Fact rows are never shuffled before the final write (an input in fewer splits
+than cores is first spread round-robin, see ``spread``).
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quakes.operators.clean import clean
 from quakes.operators.enrich import add_classes, country_lookup, map_country
 from quakes.operators.joins import MAX_BROADCAST_ROWS
-from quakes.schema import EQ_COLUMNS
+from quakes.schema import EQ, EQ_COLUMNS
 from quakes.sources.fixture import quake_raw
 from quakes.sources.table import materialize, save_table
-from quakes.schema import EQ
 from quakes.session import apply_conf, path_exists, table_dir
 
 

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from quakes.functions.rules import KEYWORDS_BY_CONTINENT, OCEAN_WORDS
 from quakes.operators.enrich import continent_lookup, country_lookup, map_continent, map_country
