@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from quakes.schema import EQ
 from quakes.session import table_dir
@@ -63,6 +64,14 @@ def loaded_count(table: DataFrame) -> int:
     return table.count()
 
 
+def save_table_counted(df: DataFrame, path: str | None = None, **kw) -> tuple[DataFrame, int]:
+    """S8 + S9 in one pass: the row count is observed while the table is
+    written (an accumulator-style metric), no second scan."""
+    obs = Observation("loaded_rows")
+    table = save_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, **kw)
+    return table, obs.get["rows"]
+
+
 def read_table(spark: SparkSession, name: str = "eq_data") -> DataFrame:
     """S10."""
     return spark.table(name)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quakes.schema import EQ, RAW_COLUMNS
 from quakes.sources import feed
-from quakes.sources.table import read_csv, save_table, write_csv
+from quakes.sources.table import read_csv, save_table, save_table_counted, write_csv
 from quakes.streaming.ingest import ingest_pages
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -116,3 +116,11 @@ def test_streaming_ingest_appends_new_pages_once(spark, tmp_dir):
     got = spark.read.parquet(table)
     assert got.count() == 4
     assert sorted(r.month for r in got.select("month").distinct().collect()) == [1, 2, 3]
+
+
+def test_loaded_count_is_observed_during_the_write(spark, tmp_dir):
+    from quakes.sources.fixture import quake_raw
+
+    raw = quake_raw(spark, "/root/testdata/sf0.001").withColumn("year", F.year("time"))
+    table, n = save_table_counted(raw, tmp_dir + "/counted")
+    assert n == raw.count() == table.count()
