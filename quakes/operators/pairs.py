@@ -8,8 +8,8 @@ window would pull the table into one task, and hour buckets put a swarm hour
    into balanced slices, also when one hour or one timestamp holds a third
    of all rows (the id breaks ties, so equal times can still be split).
 2. Inside each slice, sorted, the previous row is the previous event.  That
-   is a per-partition scan, done on Arrow batches with ``mapInPandas`` (no
-   second shuffle).  It emits candidate pairs within the time limit plus the
+   is a per-partition scan, done on Arrow batches with ``mapInArrow`` (no
+   second shuffle, no per-row Python).  It emits candidate pairs within the time limit plus the
    first and last row of the slice.
 3. The slice edges (two rows per partition) are ordered and paired with
    ``lag``; that table is bounded by the partition count.
@@ -24,7 +24,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,75 +33,67 @@ from quakes.functions.geo import haversine_km
 from quakes.functions.timeparts import epoch_micros
 from quakes.session import checkpoint_dir
 
+# Row kinds emitted by the slice scan.
+PAIR, FIRST, LAST = 0, 1, 2
+
 _OUT = (
-    "kind string, prev_id string, prev_t long, prev_lat double, prev_lon double, "
+    "kind tinyint, prev_id string, prev_t long, prev_lat double, prev_lon double, "
     "id string, t long, lat double, lon double"
 )
 _COLS = ["kind", "prev_id", "prev_t", "prev_lat", "prev_lon", "id", "t", "lat", "lon"]
+_ARROW = pa.schema(
+    [
+        ("kind", pa.int8()),
+        ("prev_id", pa.string()),
+        ("prev_t", pa.int64()),
+        ("prev_lat", pa.float64()),
+        ("prev_lon", pa.float64()),
+        ("id", pa.string()),
+        ("t", pa.int64()),
+        ("lat", pa.float64()),
+        ("lon", pa.float64()),
+    ]
+)
+_FIELDS = ["id", "t", "lat", "lon"]
+
+
+def _cols(b: pa.RecordBatch) -> list[pa.Array]:
+    return [b.column(b.schema.get_field_index(c)) for c in _FIELDS]
 
 
-def _frame(kind, prev, cur) -> pd.DataFrame:
-    """Typed output batch; ``prev`` is None for slice-edge rows."""
+def _batch(kind: int, prev: list[pa.Array] | None, cur: list[pa.Array]) -> pa.RecordBatch:
     n = len(cur[0])
     if prev is None:
-        prev = (
-            np.full(n, None, dtype=object),
-            pd.array([None] * n, dtype="Int64"),
-            np.full(n, np.nan),
-            np.full(n, np.nan),
-        )
-    return pd.DataFrame(
-        {
-            "kind": np.full(n, kind, dtype=object),
-            "prev_id": np.asarray(prev[0], dtype=object),
-            "prev_t": pd.array(prev[1], dtype="Int64"),
-            "prev_lat": np.asarray(prev[2], dtype=np.float64),
-            "prev_lon": np.asarray(prev[3], dtype=np.float64),
-            "id": np.asarray(cur[0], dtype=object),
-            "t": np.asarray(cur[1], dtype=np.int64),
-            "lat": np.asarray(cur[2], dtype=np.float64),
-            "lon": np.asarray(cur[3], dtype=np.float64),
-        }
-    )
+        prev = [pa.nulls(n, f.type) for f in _ARROW][1:5]
+    arrays = [pa.array(np.full(n, kind, dtype=np.int8))] + list(prev) + list(cur)
+    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, _ARROW)], schema=_ARROW)
 
 
 def _slice_neighbours(max_gap_us: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None  # last row of the previous batch in this partition
-        first_done = False
+    """Per sorted slice: (previous, current) pairs within ``max_gap_us``, plus
+    the slice's first and last row.  Works on Arrow arrays (no per-row Python)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: list[pa.Array] | None = None  # last row of the previous batch
         for b in batches:
-            if b.empty:
+            n = b.num_rows
+            if n == 0:
                 continue
-            ids = b["id"].to_numpy(dtype=object)
-            t = b["t"].to_numpy(dtype=np.int64)
-            lat = b["lat"].to_numpy(dtype=np.float64)
-            lon = b["lon"].to_numpy(dtype=np.float64)
-            out = []
-            if not first_done:
-                out.append(_frame("first", None, (ids[:1], t[:1], lat[:1], lon[:1])))
-                first_done = True
-                p_ids, p_t, p_lat, p_lon = ids[:-1], t[:-1], lat[:-1], lon[:-1]
-                c = slice(1, None)
+            cur = _cols(b)
+            if carry is None:
+                yield _batch(FIRST, None, [a.slice(0, 1) for a in cur])
+                prev = [a.slice(0, n - 1) for a in cur]
+                cur = [a.slice(1) for a in cur]
             else:
-                p_ids = np.concatenate([[carry[0]], ids[:-1]])
-                p_t = np.concatenate([[carry[1]], t[:-1]])
-                p_lat = np.concatenate([[carry[2]], lat[:-1]])
-                p_lon = np.concatenate([[carry[3]], lon[:-1]])
-                c = slice(None)
-            keep = (t[c] - p_t) <= max_gap_us
-            if keep.any():
-                out.append(
-                    _frame(
-                        "pair",
-                        (p_ids[keep], p_t[keep], p_lat[keep], p_lon[keep]),
-                        (ids[c][keep], t[c][keep], lat[c][keep], lon[c][keep]),
-                    )
-                )
-            carry = (ids[-1], t[-1], lat[-1], lon[-1])
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                prev = [pa.concat_arrays([c, a.slice(0, n - 1)]) for c, a in zip(carry, cur)]
+            carry = [a.slice(n - 1, 1) for a in _cols(b)]
+            if len(cur[0]) == 0:
+                continue
+            keep = pc.less_equal(pc.subtract(cur[1], prev[1]), max_gap_us)
+            if pc.any(keep).as_py():
+                yield _batch(PAIR, [pc.filter(a, keep) for a in prev], [pc.filter(a, keep) for a in cur])
         if carry is not None:
-            yield _frame("last", None, ([carry[0]], [carry[1]], [carry[2]], [carry[3]]))
+            yield _batch(LAST, None, carry)
 
     return run
 
@@ -139,14 +132,15 @@ def consecutive_pairs(
     # ranges together, so every slice is still one contiguous range).
     ranged = ev.repartitionByRange(slices, "t", "id") if slices else ev.repartitionByRange("t", "id")
     ordered = ranged.sortWithinPartitions("t", "id")
-    cand = ordered.mapInPandas(_slice_neighbours(int(max_seconds * 1_000_000)), _OUT)
+    cand = ordered.mapInArrow(_slice_neighbours(int(max_seconds * 1_000_000)), _OUT)
     dist = haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
-    cand = cand.where((F.col("kind") != "pair") | (dist <= max_km)).checkpoint(eager=True)
+    cand = cand.where((F.col("kind") != PAIR) | (dist <= max_km)).checkpoint(eager=True)
 
-    inner = cand.where(F.col("kind") == "pair")
-    edges = cand.where(F.col("kind") != "pair")
-    # Bounded by 2 x partitions: ordering it in one task is cheap.
-    w = Window.orderBy("t", "id", F.when(F.col("kind") == "first", 0).otherwise(1))
+    inner = cand.where(F.col("kind") == PAIR)
+    edges = cand.where(F.col("kind") != PAIR)
+    # Bounded by 2 x partitions: ordering it in one task is cheap.  A slice's
+    # FIRST row sorts before its LAST row when both are the same event.
+    w = Window.orderBy("t", "id", "kind")
     edge_pairs = (
         edges.select(
             "kind",
@@ -156,7 +150,7 @@ def consecutive_pairs(
             "lat",
             "lon",
         )
-        .where((F.col("kind") == "first") & F.col("prev_t").isNotNull())
+        .where((F.col("kind") == FIRST) & F.col("prev_t").isNotNull())
     )
     return _finish(inner.unionByName(edge_pairs.select(*_COLS)), max_km, max_seconds)
 

@@ -7,7 +7,7 @@ from quakes.plans.pipeline import eq_table
 
 from conftest import SF_SMALL
 
-PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
+PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "PythonMapInArrow", "FlatMapGroupsInPandas")
 
 
 def _plan(df) -> str:
