@@ -13,10 +13,11 @@ than cores is first spread round-robin, see ``spread``).
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakes.operators.clean import clean
+from quakes.operators.clean import clean_unfilled, column_medians, fill_alert, fill_medians
 from quakes.operators.enrich import add_classes, country_lookup, map_country
 from quakes.operators.joins import MAX_BROADCAST_ROWS
 from quakes.schema import EQ, EQ_COLUMNS
@@ -47,8 +48,21 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 def build_eq(raw: DataFrame, *cache_key: str, medians: dict | None = None) -> DataFrame:
-    """Lazy EQ frame (the median and lookup jobs run eagerly)."""
-    return enrich(clean(spread(raw), medians, rewrite=False), *cache_key)
+    """Lazy EQ frame; the median job and the lookup job run eagerly.
+
+    The two jobs do not depend on each other (the country text needs no
+    medians), so they are submitted together from two driver threads and
+    their stages share the executors.
+    """
+    base = clean_unfilled(spread(raw), rewrite=False)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        lookup_f = pool.submit(
+            lambda: materialize(country_lookup(base.select("country")), *cache_key, "country_lookup")
+        )
+        medians_f = pool.submit(lambda: medians if medians is not None else column_medians(base))
+        lookup, meds = lookup_f.result(), medians_f.result()
+    filled = base.transform(fill_medians, meds).transform(fill_alert)
+    return map_country(add_classes(filled), lookup).select(*EQ_COLUMNS)
 
 
 _TABLES: dict[tuple[str, str], str] = {}
