@@ -1,7 +1,8 @@
 """raw -> clean -> enrich -> stored EQ table.
 
 Three jobs at any scale:
-1. medians of seven columns (one global aggregate, 7 columns read),
+1. exact medians of seven columns (7 columns read; distributed selection,
+   see ``operators.median``),
 2. the continent lookup over distinct countries (1 column read, written to
    the shared checkpoint folder, a few hundred rows in practice),
 3. the final projection + size-checked broadcast join, written as Parquet
@@ -17,9 +18,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakes.operators.clean import clean_unfilled, column_medians, fill_alert, fill_medians
+from quakes.functions.rules import MEDIAN_FILL_COLUMNS
+from quakes.operators.clean import clean_unfilled, fill_alert, fill_medians
 from quakes.operators.enrich import add_classes, country_lookup, map_country
 from quakes.operators.joins import MAX_BROADCAST_ROWS
+from quakes.operators.median import exact_medians
 from quakes.schema import EQ, EQ_COLUMNS
 from quakes.sources.fixture import quake_raw
 from quakes.sources.table import materialize, save_table
@@ -59,7 +62,9 @@ def build_eq(raw: DataFrame, *cache_key: str, medians: dict | None = None) -> Da
         lookup_f = pool.submit(
             lambda: materialize(country_lookup(base.select("country")), *cache_key, "country_lookup")
         )
-        medians_f = pool.submit(lambda: medians if medians is not None else column_medians(base))
+        medians_f = pool.submit(
+            lambda: medians if medians is not None else exact_medians(base, MEDIAN_FILL_COLUMNS, *cache_key)
+        )
         lookup, meds = lookup_f.result(), medians_f.result()
     filled = base.transform(fill_medians, meds).transform(fill_alert)
     return map_country(add_classes(filled), lookup).select(*EQ_COLUMNS)
