@@ -18,6 +18,8 @@ and ``n // 2`` of the non-null values, as for pandas / ``F.median``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,12 @@ def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def exact_medians(df: DataFrame, cols: list[str], *cache_key: str, slices: int | None = None) -> dict[str, float | None]:
-    counts = materialize(value_counts_long(df, cols), *cache_key, "median_counts")
+def exact_quantiles(
+    df: DataFrame, cols: list[str], qs: list[float], *cache_key: str, slices: int | None = None
+) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles with linear interpolation between the values at ranks
+    ``floor((n-1)q)`` and ``ceil((n-1)q)`` (as pandas and Spark's percentile)."""
+    counts = materialize(value_counts_long(df, cols), *cache_key, "quantile_counts")
     ranged = counts.repartitionByRange(slices, "col_name", "value") if slices else counts.repartitionByRange(
         "col_name", "value"
     )
@@ -47,23 +53,41 @@ def exact_medians(df: DataFrame, cols: list[str], *cache_key: str, slices: int |
     before = F.coalesce(F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("cnt").over(Window.partitionBy("col_name"))
     slices_df = bounds.select("col_name", "lo", "hi", "cnt", before.alias("before"), total.alias("n"))
+    pos = (F.col("n") - 1) * F.col("q")
+    ranks = F.array(F.floor(pos), F.ceil(pos))
     targets = (
-        slices_df.select(
-            "*", F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))).alias("rank")
-        )
+        slices_df.select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+        .select("*", F.explode(ranks).alias("rank"))
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("cnt")))
         .select("col_name", "lo", "hi", "before", "rank")
         .distinct()
     )
-    # Only the slices holding a middle rank are ranked (bounded by slice size).
+    # Only the slices holding a wanted rank are ranked (bounded by slice size).
     picked = counts.join(F.broadcast(targets), "col_name").where(F.col("value").between(F.col("lo"), F.col("hi")))
     ws = Window.partitionBy("col_name", "rank").orderBy("value")
-    upto = F.sum("cnt").over(ws.rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.col("before") + F.sum("cnt").over(ws.rowsBetween(Window.unboundedPreceding, 0))
     at_rank = (
-        picked.select("col_name", "rank", "value", "cnt", (F.col("before") + upto).alias("upto"))
+        picked.select("col_name", "rank", "value", "cnt", upto.alias("upto"))
         .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("cnt") <= F.col("rank")))
-        .groupBy("col_name")
-        .agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+        .select("col_name", "rank", "value")
     )
-    got = {r.col_name: r.median for r in at_rank.collect()}
-    return {c: got.get(c) for c in cols}
+    values = {(r.col_name, r.rank): r.value for r in at_rank.collect()}  # 2 per (column, q)
+    totals = {r.col_name: r.n for r in slices_df.select("col_name", "n").distinct().collect()}
+    out: dict[tuple[str, float], float | None] = {}
+    for c in cols:
+        n = totals.get(c)
+        for q in qs:
+            if not n:
+                out[(c, q)] = None
+                continue
+            p = (n - 1) * q
+            lo, hi = math.floor(p), math.ceil(p)
+            a, b = values[(c, lo)], values[(c, hi)]
+            out[(c, q)] = a if lo == hi else (hi - p) * a + (p - lo) * b
+    return out
+
+
+def exact_medians(df: DataFrame, cols: list[str], *cache_key: str, slices: int | None = None) -> dict[str, float | None]:
+    """Exact median per column (midpoint of the two middle values)."""
+    got = exact_quantiles(df, cols, [0.5], *cache_key, slices=slices)
+    return {c: got[(c, 0.5)] for c in cols}

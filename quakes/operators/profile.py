@@ -7,9 +7,14 @@ instead of one task per statistic.
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakes.operators.median import exact_quantiles
+
 PROFILE_COLUMNS = ["mmi", "rms", "dmin", "gap", "nst", "cdi", "felt"]
 
 
@@ -54,33 +59,33 @@ def null_counts(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: list[str] = PROFILE_COLUMNS, approx_accuracy: int | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles (exact, interpolated), max per column.
 
-    Exact quartiles hold a value -> count map per column (bounded by the
-    column's resolution); ``approx_accuracy`` switches to a fixed-size sketch.
+    Moments are one grouped aggregate.  Exact quartiles come from the
+    distributed selection in ``operators.median`` (no task holds a whole
+    column's values); ``approx_accuracy`` switches to a fixed-size sketch.
     """
+    moments = [
+        F.count(F.lit(1)).alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    ]
+    out_cols = ["col_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    long = _long(df, cols)
     if approx_accuracy:
         q = F.percentile_approx(F.col("value"), [0.25, 0.5, 0.75], approx_accuracy)
-    else:
-        q = F.percentile(F.col("value"), [0.25, 0.5, 0.75])
-    return (
-        _long(df, cols)
-        .groupBy("col_name")
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            q.alias("_q"),
-            F.max("value").alias("max"),
-        )
-        .select(
-            "col_name",
-            "count",
-            "mean",
-            "std",
-            "min",
-            F.col("_q")[0].alias("p25"),
-            F.col("_q")[1].alias("p50"),
-            F.col("_q")[2].alias("p75"),
-            "max",
-        )
+        agg = long.groupBy("col_name").agg(*moments, q.alias("_q"))
+        quartiles = {"p25": F.col("_q")[0], "p50": F.col("_q")[1], "p75": F.col("_q")[2]}
+        return agg.select(*[quartiles[c].alias(c) if c in quartiles else F.col(c) for c in out_cols])
+    spark = df.sparkSession
+    qs = [0.25, 0.5, 0.75]
+    got = exact_quantiles(df, cols, qs, "describe", uuid.uuid4().hex)
+    quart = spark.createDataFrame(
+        pd.DataFrame(
+            [(c, got[(c, 0.25)], got[(c, 0.5)], got[(c, 0.75)]) for c in cols],
+            columns=["col_name", "p25", "p50", "p75"],
+        ).astype({"p25": "float64", "p50": "float64", "p75": "float64"}),
+        "col_name string, p25 double, p50 double, p75 double",
     )
+    # one row per profiled column on both sides
+    return long.groupBy("col_name").agg(*moments).join(F.broadcast(quart), "col_name").select(*out_cols)

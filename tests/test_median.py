@@ -29,3 +29,17 @@ def test_exact_medians_match_spark_median(spark, slices):
         else:
             assert got[c] == pytest.approx(want[c], abs=1e-12), c
             assert got[c] == pytest.approx(float(pdf[c].median()), abs=1e-12), c
+
+
+def test_exact_quantiles_match_pandas(spark):
+    from quakes.operators.median import exact_quantiles
+
+    rnd = random.Random(11)
+    rows = [(rnd.choice([None, float(rnd.randint(0, 30))]), rnd.gauss(0, 1)) for _ in range(1234)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = exact_quantiles(df, ["a", "b"], qs, "quantile-test", slices=5)
+    pdf = df.toPandas()
+    for c in ("a", "b"):
+        for q in qs:
+            assert got[(c, q)] == pytest.approx(float(pdf[c].quantile(q)), abs=1e-12), (c, q)

@@ -27,3 +27,9 @@ def test_null_counts_and_value_counts(spark):
     df = spark.createDataFrame([("x", None), (None, 1), ("x", 2)], "s string, n int")
     assert {r.col_name: r.null_count for r in null_counts(df).collect()} == {"s": 1, "n": 1}
     assert [(r.s, r["count"]) for r in value_counts(df, "s").collect()] == [("x", 2)]
+
+
+def test_describe_approx_option(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(101)], "x double")
+    r = describe(df, ["x"], approx_accuracy=10000).first()
+    assert (r.p25, r.p50, r.p75, r["count"]) == (25.0, 50.0, 75.0, 101)
