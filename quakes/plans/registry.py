@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from quakes.operators import profile
 from quakes.operators.clean import clean, clean_unfilled, lower_alert
 from quakes.operators.enrich import continent_lookup
+from quakes.operators.median import exact_medians
 from quakes.plans import catalog, oracle
 from quakes.plans.pipeline import eq_table
 from quakes.schema import EQ, RAW_COLUMNS
@@ -89,8 +91,11 @@ def _stream_ingest(spark, sf_dir):
 
 
 def _medians(spark, sf_dir):
-    df = clean_unfilled(quake_raw(spark, sf_dir))
-    return df.agg(*[F.median(c).alias(c) for c in profile.PROFILE_COLUMNS])
+    """C8 medians as the pipeline computes them (distributed exact selection)."""
+    cols = profile.PROFILE_COLUMNS
+    got = exact_medians(clean_unfilled(quake_raw(spark, sf_dir)), cols, sf_dir, uuid.uuid4().hex)
+    row = pd.DataFrame([[got[c] for c in cols]], columns=cols).astype("float64")
+    return spark.createDataFrame(row, ", ".join(f"{c} double" for c in cols))
 
 
 def _lookup(spark, sf_dir):
