@@ -1,8 +1,9 @@
 """Enrichment operators D1-D8.
 
 Continent assignment follows the catalogue: evaluate the expensive text rules
-once per *distinct* country (D3), never per row, then map the answer back onto
-the rows with a size-checked broadcast join (D8).
+(the 27 rewrites of C5 and the matching below) once per *distinct* country
+text (D3), never per row, then map the answer back onto the rows with a
+size-checked broadcast join (D8).
 
 * D4 gazetteer: theta join of the distinct countries with the fixed 249-row
   ISO table (broadcast nested-loop join), scored exact / contained.

@@ -166,21 +166,20 @@ def q21_top_avg_mag(eq: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def q22_shallow_and_deep(eq: DataFrame) -> DataFrame:
+def q22_shallow_and_deep(eq: DataFrame, distinct_count: bool = False) -> DataFrame:
     # HAVING count(DISTINCT EQ_type) = 2 over rows filtered to two values is
-    # "both values present": one partial+final aggregate (a distinct count
-    # would add a second shuffle on (group, EQ_type)).
-    return (
-        eq.where(F.col("EQ_type").isin("Shallow", "Deep"))
-        .groupBy("month", "year", "country")
-        .agg(
+    # "both values present": one partial+final aggregate.  The literal
+    # distinct count (G5, ``distinct_count=True``) plans a second shuffle on
+    # (group, EQ_type); both give the same rows.
+    rows = eq.where(F.col("EQ_type").isin("Shallow", "Deep")).groupBy("month", "year", "country")
+    if distinct_count:
+        grouped = rows.agg(F.count_distinct("EQ_type").alias("_n")).where(F.col("_n") == 2)
+    else:
+        grouped = rows.agg(
             F.bool_or(F.col("EQ_type") == "Shallow").alias("_s"),
             F.bool_or(F.col("EQ_type") == "Deep").alias("_d"),
-        )
-        .where(F.col("_s") & F.col("_d"))
-        .select("country", "month", "year")
-        .orderBy("year")
-    )
+        ).where(F.col("_s") & F.col("_d"))
+    return grouped.select("country", "month", "year").orderBy("year")
 
 
 def q23_yoy_growth(eq: DataFrame) -> DataFrame:

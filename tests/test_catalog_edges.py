@@ -51,6 +51,8 @@ def test_q22_both_classes_same_month(spark):
         dict(id="5", country="B", month=1, year=2020, EQ_type="Deep"),
     ])
     assert [(r.country, r.month, r.year) for r in catalog.q22_shallow_and_deep(eq).collect()] == [("A", 1, 2020)]
+    literal = catalog.q22_shallow_and_deep(eq, distinct_count=True)
+    assert [(r.country, r.month, r.year) for r in literal.collect()] == [("A", 1, 2020)]
 
 
 def test_q13_skips_missing_alerts_and_weights(spark):
