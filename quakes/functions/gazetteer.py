@@ -2,7 +2,8 @@
 
 The gazetteer is a fixed, bounded table (249 countries), so it is always safe
 to broadcast.  Matching is done as a Spark join in ``quakes.operators.enrich``:
-an exact hit on a code or a name scores 50, a country whose name (or official
+texts and names are compared lowercased and accent-folded; an exact hit on
+a code or a name scores 50, a country whose name (or official
 name) contains the text scores ``max(5, 30 - 2 * position)``; the best score
 wins, ties go to the earlier country in alpha-3 order.
 """
@@ -13,6 +14,8 @@ import csv
 import functools
 import os
 
+from quakes.functions.text import fold_accents_py
+
 CONTINENT_NAMES = {
     "AF": "Africa",
     "AN": "Antarctica",
@@ -54,8 +57,13 @@ def countries() -> list[dict]:
     return out
 
 
+def _key(text: str | None) -> str | None:
+    return fold_accents_py(text.lower()) if text else None
+
+
 def gazetteer_rows() -> list[tuple]:
-    """(ord, alpha2, code2, code3, name_l, official_l, common_l, continent), all keys lowercased."""
+    """(ord, alpha2, code2, code3, name_l, official_l, common_l, continent);
+    keys lowercased and accent-folded, as the matched text is."""
     out = []
     for r in countries():
         out.append(
@@ -64,9 +72,9 @@ def gazetteer_rows() -> list[tuple]:
                 r["alpha2"],
                 r["alpha2"].lower(),
                 r["alpha3"].lower(),
-                r["name"].lower(),
-                r["official_name"].lower() if r["official_name"] else None,
-                r["common_name"].lower() if r["common_name"] else None,
+                _key(r["name"]),
+                _key(r["official_name"]),
+                _key(r["common_name"]),
                 r["continent"],
             )
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,32 @@ WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 LAST_PART_PATTERN = r",\s*([^,]+)$"
 
 
+def _accent_table() -> tuple[str, str]:
+    """Latin letters (U+00C0-U+024F) that decompose to one base letter plus
+    combining marks -> that base letter (derived from Unicode, not listed)."""
+    src, dst = [], []
+    for cp in range(0xC0, 0x250):
+        ch = chr(cp)
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if len(base) == 1 and base != ch:
+            src.append(ch)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+ACCENTED, UNACCENTED = _accent_table()
+_FOLD = str.maketrans(ACCENTED, UNACCENTED)
+
+
+def fold_accents_py(text: str) -> str:
+    return text.translate(_FOLD)
+
+
+def fold_accents(c: Column) -> Column:
+    """Accent folding for matching (e.g. "Réunion" -> "Reunion")."""
+    return F.translate(c, ACCENTED, UNACCENTED)
+
+
 def strip_ws(c: Column) -> Column:
     """Trim whitespace at both ends (null stays null).
 

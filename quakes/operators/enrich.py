@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from quakes.functions.classes import depth_class, mag_class
 from quakes.functions.gazetteer import EXACT_POINTS, GAZETTEER_DDL, PARTIAL_FLOOR, PARTIAL_TOP, gazetteer_rows
-from quakes.functions.text import apply_rewrites
+from quakes.functions.text import apply_rewrites, fold_accents
 from quakes.functions.rules import OCEAN_LABEL, OCEAN_WORDS, UNKNOWN_LABEL, keyword_rows
 from quakes.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 
@@ -61,7 +61,7 @@ def gazetteer_continent(countries: DataFrame) -> DataFrame:
     """(country, gaz_continent) for each distinct country."""
     spark = countries.sparkSession
     g = F.broadcast(gazetteer_dim(spark))
-    lc = F.lower(F.col("country"))
+    lc = fold_accents(F.lower(F.col("country")))
     exact = (
         (lc == g.g_code2) | (lc == g.g_code3) | (lc == g.g_name) | (lc == g.g_official) | (lc == g.g_common)
     )

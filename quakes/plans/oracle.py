@@ -20,7 +20,7 @@ from quakes.functions.rules import (
     OCEAN_WORDS,
     keyword_rows,
 )
-from quakes.functions.text import LAST_PART_PATTERN, STRIP_PATTERN
+from quakes.functions.text import ACCENTED, LAST_PART_PATTERN, STRIP_PATTERN, UNACCENTED
 from quakes.sources.fixture import LITERAL_PLACES, MAGTYPES, NETS, TOWN_REGIONS, TYPES
 
 DIGITS = 6
@@ -62,7 +62,7 @@ def base_ctes() -> str:
     town = _case("p", TOWN_REGIONS)
     lit_place = _case("p - 12", LITERAL_PLACES)
     ocean = " OR ".join(f"strpos(lower(c.country), {lit(w)}) > 0" for w in OCEAN_WORDS)
-    lc = "lower(c.country)"
+    lc = f"translate(lower(c.country), {lit(ACCENTED)}, {lit(UNACCENTED)})"
     exact = f"({lc} = g.g_code2 OR {lc} = g.g_code3 OR {lc} = g.g_name OR {lc} = g.g_official OR {lc} = g.g_common)"
     npos = f"strpos(g.g_name, {lc})"
     opos = f"strpos(g.g_official, {lc})"
@@ -159,7 +159,7 @@ gm AS (
 km AS (
   SELECT country, k_continent AS kw_continent FROM (
     SELECT c.country, k.k_continent, row_number() OVER (PARTITION BY c.country ORDER BY k.k_prio) AS rn
-    FROM ctry c JOIN kw k ON strpos({lc}, k.k_keyword) > 0
+    FROM ctry c JOIN kw k ON strpos(lower(c.country), k.k_keyword) > 0
   ) WHERE rn = 1
 ),
 lookup AS (
