@@ -115,13 +115,9 @@ def _finish(pairs: DataFrame, max_km: float, max_seconds: float) -> DataFrame:
     )
 
 
-def consecutive_pairs(
-    df: DataFrame, max_km: float = 50.0, max_seconds: float = 3600.0, slices: int | None = None
-) -> DataFrame:
-    """prev_id, id, prev_time, time, gap_s, distance_km for consecutive events
-    at most ``max_seconds`` apart and at most ``max_km`` apart."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+def slice_candidates(df: DataFrame, max_km: float, max_seconds: float, slices: int | None = None) -> DataFrame:
+    """Range slices of (time, id), scanned in order: candidate pairs inside
+    each slice (within both limits) and every slice's first and last row."""
     ev = df.where(F.col("time").isNotNull()).select(
         F.col("id"),
         epoch_micros(F.col("time")).alias("t"),
@@ -134,7 +130,16 @@ def consecutive_pairs(
     ordered = ranged.sortWithinPartitions("t", "id")
     cand = ordered.mapInArrow(_slice_neighbours(int(max_seconds * 1_000_000)), _OUT)
     dist = haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
-    cand = cand.where((F.col("kind") != PAIR) | (dist <= max_km)).checkpoint(eager=True)
+    return cand.where((F.col("kind") != PAIR) | (dist <= max_km))
+
+
+def consecutive_pairs(
+    df: DataFrame, max_km: float = 50.0, max_seconds: float = 3600.0, slices: int | None = None
+) -> DataFrame:
+    """prev_id, id, prev_time, time, gap_s, distance_km for consecutive events
+    at most ``max_seconds`` apart and at most ``max_km`` apart."""
+    checkpoint_dir(df.sparkSession)
+    cand = slice_candidates(df, max_km, max_seconds, slices).checkpoint(eager=True)
 
     inner = cand.where(F.col("kind") == PAIR)
     edges = cand.where(F.col("kind") != PAIR)

@@ -55,3 +55,12 @@ def test_lookup_theta_joins_are_broadcast_nested_loops(spark):
     lk = country_lookup(clean_unfilled(quake_raw(spark, SF_SMALL), rewrite=False).select("country"))
     plan = _plan(lk)
     assert plan.count("BroadcastNestedLoopJoin") == 2
+
+
+def test_pair_scan_never_moves_the_fact_rows_to_one_partition(eq):
+    from quakes.operators.pairs import slice_candidates
+
+    plan = _plan(slice_candidates(eq, 50.0, 3600.0))
+    assert "rangepartitioning(t" in plan
+    assert "SinglePartition" not in plan
+    assert "Window" not in plan  # no global window over events
