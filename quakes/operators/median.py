@@ -59,7 +59,7 @@ def exact_quantiles(
         slices_df.select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
         .select("*", F.explode(ranks).alias("rank"))
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("cnt")))
-        .select("col_name", "lo", "hi", "before", "rank")
+        .select("col_name", "lo", "hi", "before", "n", "rank")
         .distinct()
     )
     # Only the slices holding a wanted rank are ranked (bounded by slice size).
@@ -67,12 +67,13 @@ def exact_quantiles(
     ws = Window.partitionBy("col_name", "rank").orderBy("value")
     upto = F.col("before") + F.sum("cnt").over(ws.rowsBetween(Window.unboundedPreceding, 0))
     at_rank = (
-        picked.select("col_name", "rank", "value", "cnt", upto.alias("upto"))
+        picked.select("col_name", "rank", "value", "cnt", "n", upto.alias("upto"))
         .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("cnt") <= F.col("rank")))
-        .select("col_name", "rank", "value")
+        .select("col_name", "rank", "value", "n")
     )
-    values = {(r.col_name, r.rank): r.value for r in at_rank.collect()}  # 2 per (column, q)
-    totals = {r.col_name: r.n for r in slices_df.select("col_name", "n").distinct().collect()}
+    rows = at_rank.collect()  # 2 per (column, quantile)
+    values = {(r.col_name, r.rank): r.value for r in rows}
+    totals = {r.col_name: r.n for r in rows}
     out: dict[tuple[str, float], float | None] = {}
     for c in cols:
         n = totals.get(c)
