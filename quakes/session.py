@@ -36,6 +36,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("QUAKES_DRIVER_MEMORY", "8g"))
+        # remove DataFrame.checkpoint() files once the DataFrame is unreachable
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
         .config("spark.executor.extraJavaOptions", JVM_OPTIONS)
     )
