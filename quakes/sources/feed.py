@@ -65,6 +65,15 @@ def month_windows(spark: SparkSession, start_year: int, end_year: int) -> DataFr
     return windows_between(one, F.col("s"), F.col("e"))
 
 
+def recent_month_windows(spark: SparkSession, years_back: int = 5) -> DataFrame:
+    """S2 with the default range: from January ``years_back`` years ago to
+    December of the current year (six calendar years for 5), from the
+    session's current date."""
+    this_year = F.year(F.current_date())
+    one = spark.range(1).select((this_year - years_back).alias("s"), this_year.alias("e"))
+    return windows_between(one, F.col("s"), F.col("e"))
+
+
 def windows_between(one_row: DataFrame, start_year: Column, end_year: Column) -> DataFrame:
     """S2 from a one-row frame holding the year bounds (may be data derived)."""
     starts = F.sequence(

@@ -124,3 +124,10 @@ def test_loaded_count_is_observed_during_the_write(spark, tmp_dir):
     raw = quake_raw(spark, "/root/testdata/sf0.001").withColumn("year", F.year("time"))
     table, n = save_table_counted(raw, tmp_dir + "/counted")
     assert n == raw.count() == table.count()
+
+
+def test_recent_month_windows_cover_six_calendar_years(spark):
+    w = feed.recent_month_windows(spark).orderBy("window_start").collect()
+    this_year = dt.date.today().year
+    assert len(w) == 72
+    assert w[0].window_start == dt.date(this_year - 5, 1, 1) and w[-1].window_end == dt.date(this_year + 1, 1, 1)
