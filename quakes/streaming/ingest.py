@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from quakes.schema import FEATURE, FEED
@@ -20,18 +21,7 @@ from quakes.sources.feed import flatten
 from quakes.session import checkpoint_dir
 
 
-def ingest_pages(
-    spark: SparkSession,
-    landing_dir: str,
-    table_path: str,
-    checkpoint: str | None = None,
-    pages: bool = True,
-    max_files_per_trigger: int = 64,
-) -> int:
-    """Process every page not yet ingested, then stop (availableNow).
-
-    Returns the number of micro-batches that ran.
-    """
+def _raw_stream(spark: SparkSession, landing_dir: str, pages: bool, max_files_per_trigger: int):
     reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
     if pages:
         src = reader.schema(FEED).option("multiLine", True).json(landing_dir)
@@ -39,16 +29,48 @@ def ingest_pages(
     else:
         src = reader.schema(FEATURE).json(landing_dir)
         feats = src.select(F.struct(*[F.col(c) for c in FEATURE.fieldNames()]).alias("f"))
-    raw = flatten(feats).withColumns({"year": F.year("time"), "month": F.month("time")})
+    return flatten(feats).withColumns({"year": F.year("time"), "month": F.month("time")})
+
+
+def _writer(spark: SparkSession, raw, table_path: str, checkpoint: str | None):
     ckpt = checkpoint or f"{checkpoint_dir(spark)}/streams/ingest-{hashlib.sha1(table_path.encode()).hexdigest()[:12]}"
-    q = (
+    return (
         raw.writeStream.format("parquet")
         .option("path", table_path)
         .option("checkpointLocation", ckpt)
         .partitionBy("year", "month")
         .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
     )
+
+
+def ingest_pages(
+    spark: SparkSession,
+    landing_dir: str,
+    table_path: str,
+    checkpoint: str | None = None,
+    pages: bool = True,
+    max_files_per_trigger: int = 64,
+) -> int:
+    """Process every page not yet ingested, then stop (availableNow).
+
+    Returns the number of micro-batches that ran.
+    """
+    raw = _raw_stream(spark, landing_dir, pages, max_files_per_trigger)
+    q = _writer(spark, raw, table_path, checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return len(q.recentProgress)
+
+
+def start_ingest(
+    spark: SparkSession,
+    landing_dir: str,
+    table_path: str,
+    checkpoint: str | None = None,
+    pages: bool = True,
+    every: str = "1 minute",
+    max_files_per_trigger: int = 64,
+) -> StreamingQuery:
+    """Long-running form: pick up new pages every ``every``; returns the
+    running query (stop it with ``.stop()``)."""
+    raw = _raw_stream(spark, landing_dir, pages, max_files_per_trigger)
+    return _writer(spark, raw, table_path, checkpoint).trigger(processingTime=every).start()

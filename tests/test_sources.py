@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quakes.schema import EQ, RAW_COLUMNS
 from quakes.sources import feed
 from quakes.sources.table import read_csv, save_table, save_table_counted, write_csv
-from quakes.streaming.ingest import ingest_pages
+from quakes.streaming.ingest import ingest_pages, start_ingest
 
 EPOCH = dt.datetime(1970, 1, 1)
 
@@ -131,3 +131,18 @@ def test_recent_month_windows_cover_six_calendar_years(spark):
     this_year = dt.date.today().year
     assert len(w) == 72
     assert w[0].window_start == dt.date(this_year - 5, 1, 1) and w[-1].window_end == dt.date(this_year + 1, 1, 1)
+
+
+def test_long_running_ingest_picks_up_new_pages(spark, tmp_dir):
+    land, table = tmp_dir + "/landing", tmp_dir + "/raw_table"
+    os.makedirs(land)
+    write_page(f"{land}/2024-01.json", [feature("1", dt.datetime(2024, 1, 5), [1.0, 2.0, 3.0])])
+    q = start_ingest(spark, land, table, checkpoint=tmp_dir + "/ckpt", every="1 second")
+    try:
+        q.processAllAvailable()
+        assert spark.read.parquet(table).count() == 1
+        write_page(f"{land}/2024-02.json", [feature("2", dt.datetime(2024, 2, 5), [1.0, 2.0, 3.0])])
+        q.processAllAvailable()
+        assert spark.read.parquet(table).count() == 2
+    finally:
+        q.stop()
