@@ -58,3 +58,57 @@ def test_pairs_on_generated_events(spark, events, slices):
     assert key(consecutive_pairs(df, max_km=60.0, max_seconds=900, slices=slices)) == key(
         consecutive_pairs_bruteforce(df, max_km=60.0, max_seconds=900)
     )
+
+
+from quakes.functions.gazetteer import countries, gazetteer_rows  # noqa: E402
+from quakes.functions.rules import OCEAN_WORDS, keyword_rows  # noqa: E402
+from quakes.functions.text import fold_accents_py  # noqa: E402
+from quakes.operators.enrich import continent_lookup  # noqa: E402
+
+GAZ = gazetteer_rows()
+KW = sorted(keyword_rows(), key=lambda r: r[3])
+
+
+def py_continent(s):
+    """The lookup rules stated directly (used only to check the Spark joins)."""
+    if s is None:
+        return "unknown"
+    lc = fold_accents_py(s.lower())
+    if lc != "":
+        best = None
+        for ord_, _a2, code2, code3, name, official, common, cont in GAZ:
+            exact = lc in (code2, code3, name, official, common)
+            npos = name.find(lc)
+            opos = official.find(lc) if official else -1
+            if not (exact or npos >= 0 or opos >= 0):
+                continue
+            part = max(5, 30 - 2 * npos) if npos >= 0 else (max(5, 30 - 2 * opos) if opos >= 0 else 0)
+            k = (50 * exact + part, -ord_)
+            if best is None or k > best[0]:
+                best = (k, cont)
+        if best is not None and best[1] is not None:
+            return best[1]
+    sl = s.lower()
+    for _o, kw, cont, _p in KW:
+        if kw in sl:
+            return cont
+    if any(w in sl for w in OCEAN_WORDS):
+        return "Ocean/Other"
+    return "unknown"
+
+
+NAMES = [c["name"] for c in countries()] + [c["alpha2"] for c in countries()] + [c["alpha3"] for c in countries()]
+WORDS = [r[1] for r in keyword_rows()] + OCEAN_WORDS + ["Réunion", "Cote d'Ivoire", "Türkiye", "ridge", "region"]
+latin = st.text(alphabet=st.characters(min_codepoint=0x20, max_codepoint=0x24F, categories=["L", "Zs", "Pd"]),
+                max_size=8)
+word = st.one_of(st.sampled_from(NAMES), st.sampled_from(WORDS), latin)
+country_text = st.lists(word, min_size=0, max_size=3).map(" ".join)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(country_text, st.sampled_from(NAMES), st.none()), min_size=1, max_size=60))
+def test_continent_lookup_on_generated_texts(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "country string")
+    got = {r.country: r.continent for r in continent_lookup(df).collect()}
+    for t in set(texts):
+        assert got[t] == py_continent(t), repr(t)
