@@ -17,7 +17,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakes.functions.timeparts import epoch_ms_to_ts
+from quakes.functions.timeparts import epoch_millis, epoch_ms_to_ts
 from quakes.schema import FEATURE, FEED, RAW
 
 # feed property -> RAW column (where the names differ)
@@ -110,10 +110,8 @@ def window_counts(raw: DataFrame, windows: DataFrame, min_mag: float = 3.0) -> D
 
 def to_features(raw: DataFrame) -> DataFrame:
     """RAW rows -> GeoJSON feature structs (for landing test feeds)."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
     def ms(c: str) -> Column:
-        return F.timestamp_diff("MILLISECOND", epoch, F.col(c))
+        return epoch_millis(F.col(c))
 
     props = {name: F.col(RENAMES.get(name, name)) for name in FEED_FIELDS}
     props["time"] = ms("time")

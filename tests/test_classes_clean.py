@@ -48,3 +48,23 @@ def test_time_parts_full_day_name(spark):
     r = add_time_parts(df).first()
     assert (r.year, r.month, r.day, r.day_of_week, r.hour) == (2024, 1, 1, "Monday", 13)
     assert r.day_of_week == pd.Timestamp(ts).day_name()
+
+
+
+def test_epoch_micros_is_zone_free(spark):
+    from quakes.functions.timeparts import epoch_micros, epoch_ms_to_ts
+
+    stamps = [dt.datetime(2023, 3, 12, 1, 59, 59, 999999), dt.datetime(2023, 3, 12, 2, 30, 0, 1),
+              dt.datetime(2023, 11, 5, 1, 30, 0, 500000), dt.datetime(1969, 12, 31, 23, 59, 59, 250000),
+              dt.datetime(2024, 2, 29, 23, 0, 0)]
+    df = spark.createDataFrame([(s,) for s in stamps], "t timestamp_ntz")
+    want = [(s - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) for s in stamps]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.select(epoch_micros(F.col("t"))).collect()] == want, zone
+            back = df.select(epoch_ms_to_ts(F.floor(epoch_micros(F.col("t")) / 1000)).alias("b")).collect()
+            assert [r.b for r in back] == [s.replace(microsecond=s.microsecond // 1000 * 1000) for s in stamps], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
