@@ -16,8 +16,9 @@ STRIP_PATTERN = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 # The same set spelled out (derived from str.isspace), for a non-regex trim.
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
-# Last comma-separated part of a place ("12 km NE of X, Japan" -> "Japan").
-LAST_PART_PATTERN = r",\s*([^,]+)$"
+# Last comma-separated part of a place ("12 km NE of X, Japan" -> "Japan");
+# the whitespace after the comma is Python's (Unicode) whitespace.
+LAST_PART_PATTERN = rf",{WS_CLASS}*([^,]+)$"
 
 
 def _accent_table() -> tuple[str, str]:
@@ -62,8 +63,9 @@ def last_comma_part(place: Column) -> Column:
 
 
 def _java_pattern(p: str) -> str:
-    # Python's (?i) folds case over Unicode; Java needs the u flag for that.
-    return p.replace("(?i)", "(?iu)", 1)
+    # Python's str patterns are Unicode-aware: (?i) folds case over Unicode and
+    # \d matches any decimal digit.  Java's U flag gives both.
+    return p.replace("(?i)", "(?iU)", 1)
 
 
 def _any_rule_pattern() -> str:
@@ -73,7 +75,7 @@ def _any_rule_pattern() -> str:
         body = p.replace("(?i)", "", 1)
         assert body.startswith("^") and body.endswith("$")
         bodies.append(body[1:-1])
-    return "(?iu)^(?:" + "|".join(f"(?:{b})" for b in bodies) + ")$"
+    return "(?iU)^(?:" + "|".join(f"(?:{b})" for b in bodies) + ")$"
 
 
 def apply_rewrites(country: Column) -> Column:

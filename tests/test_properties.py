@@ -16,7 +16,8 @@ RULE_TEXTS = [p.replace("(?i)^", "").replace("$", "").replace("\\(", "(").replac
               for p, _ in COUNTRY_REWRITES]
 piece = st.one_of(
     st.text(alphabet=st.characters(codec="utf-8", categories=["L", "N", "Zs", "Cc", "P"]), max_size=12),
-    st.sampled_from(RULE_TEXTS + [", ", ",", " \t", "　", "\x85", "Ta"]),
+    st.sampled_from(RULE_TEXTS + [", ", ",", " \t", "　", "\x85", "Ta", ",\u3000", ",\xa0", ",\x1c ", "\u2028",
+                                  "\u0661\u0662 km NNE of Ta", "\u0966 KM nne OF ta"]),
     st.sampled_from(RULE_TEXTS).map(str.upper),
 )
 place = st.lists(piece, max_size=4).map("".join)

@@ -55,6 +55,9 @@ SAMPLES = [
     "Taiwan earthquake",
     "2025 Hubbard Glacier Earthquake",
     "Louisiana earthquake",
+    "\u0661\u0662 km NNE of Ta",
+    "x,\u3000Japan earthquake",
+    "y,\xa0\x1cChile",
     "x, Alaska earthquake",
     "Alaska earthquake swarm",
     "",
