@@ -57,9 +57,21 @@ def strip_ws(c: Column) -> Column:
 
 
 def last_comma_part(place: Column) -> Column:
-    """C4: text after the last comma, else the whole place."""
-    part = F.regexp_extract(place, LAST_PART_PATTERN, 1)
-    return F.coalesce(F.nullif(part, F.lit("")), place)
+    """C4: what ``LAST_PART_PATTERN`` (group 1) extracts, else the whole place.
+
+    Written without a regex: the text after the last comma, leading whitespace
+    removed; if that leaves nothing but the tail was all whitespace, the regex
+    would give back its last character (``[^,]+`` needs one), so that is kept.
+    No comma, or nothing after it: no match, the whole place.
+    """
+    tail = F.substring_index(place, ",", -1)
+    lead_trimmed = F.ltrim(tail, F.lit(WHITESPACE))
+    part = (
+        F.when((F.instr(place, ",") == 0) | (tail == ""), F.lit(None))
+        .when(lead_trimmed != "", lead_trimmed)
+        .otherwise(F.substring(tail, -1, 1))
+    )
+    return F.coalesce(part, place)
 
 
 def _java_pattern(p: str) -> str:

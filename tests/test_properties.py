@@ -113,3 +113,23 @@ def test_continent_lookup_on_generated_texts(spark, texts):
     got = {r.country: r.continent for r in continent_lookup(df).collect()}
     for t in set(texts):
         assert got[t] == py_continent(t), repr(t)
+
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(place, st.none()), min_size=1, max_size=80))
+def test_last_comma_part_equals_the_regex_on_raw_text(spark, places):
+    import re
+
+    from quakes.functions.text import LAST_PART_PATTERN
+
+    py_pat = re.compile(r",\s*([^,]+)$")
+    df = spark.createDataFrame([(p,) for p in places], "place string")
+    rows = df.select("place", last_comma_part(F.col("place")).alias("c"),
+                     F.regexp_extract("place", LAST_PART_PATTERN, 1).alias("java")).collect()
+    for r in rows:
+        if r.place is None:
+            assert r.c is None
+            continue
+        m = py_pat.search(r.place)
+        assert r.c == (m.group(1) if m else r.place), repr(r.place)
