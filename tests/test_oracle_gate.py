@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
+from quakes.plans import registry
 
 from conftest import SF_SMALL
 
@@ -36,8 +37,8 @@ def duck():
     return con
 
 
-QUERIES = se.queries()
-SQL = se.oracle_sql()
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
