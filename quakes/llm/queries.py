@@ -6,9 +6,11 @@ import corpus_pipeline
 from quakes.llm.chat_windows import op4_chat_windows
 from quakes.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from quakes.llm.packing import op8_best_fit_packing
+from quakes.llm.piece_codec import op10_piece_codec
 from quakes.llm.quality_rules import op7_quality_rules
 from quakes.llm.secret_scan import op9_secret_scan
 from quakes.llm.simhash_dedup import op1_simhash_dedup
+from quakes.llm.zip_archives import op6_warc_zip
 
 QUERIES = {
     f.__name__: f
@@ -16,9 +18,11 @@ QUERIES = {
         op1_simhash_dedup,
         op3_exact_dedup,
         op4_chat_windows,
+        op6_warc_zip,
         op7_quality_rules,
         op8_best_fit_packing,
         op9_secret_scan,
+        op10_piece_codec,
     )
 }
 
