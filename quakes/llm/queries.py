@@ -6,7 +6,9 @@ import corpus_pipeline
 from quakes.llm.chat_windows import op4_chat_windows
 from quakes.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from quakes.llm.packing import op8_best_fit_packing
+from quakes.llm.page_text import op5_page_text
 from quakes.llm.piece_codec import op10_piece_codec
+from quakes.llm.pitman_yor import op2_pitman_yor
 from quakes.llm.quality_rules import op7_quality_rules
 from quakes.llm.secret_scan import op9_secret_scan
 from quakes.llm.simhash_dedup import op1_simhash_dedup
@@ -16,8 +18,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_dedup,
+        op2_pitman_yor,
         op3_exact_dedup,
         op4_chat_windows,
+        op5_page_text,
         op6_warc_zip,
         op7_quality_rules,
         op8_best_fit_packing,
