@@ -21,11 +21,13 @@ Python pass runs once and the job survives executor loss.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,9 @@ from quakes.functions.geo import haversine_km
 from quakes.functions.timeparts import epoch_micros
 from quakes.session import checkpoint_dir
 
+# The slice scan travels whole: workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Row kinds emitted by the slice scan.
 PAIR, FIRST, LAST = 0, 1, 2
 

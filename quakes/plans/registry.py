@@ -99,7 +99,7 @@ def _medians(spark, sf_dir):
 
 
 def _lookup(spark, sf_dir):
-    return continent_lookup(clean(quake_raw(spark, sf_dir)).select("country"))
+    return continent_lookup(clean_unfilled(quake_raw(spark, sf_dir)).select("country"))
 
 
 def _numbered_q12(spark, sf_dir):

@@ -55,32 +55,32 @@ def apply_conf(spark: SparkSession) -> None:
         try:
             spark.conf.set(k, v)
         except Exception:  # static or locked conf on a managed cluster
-            pass
+            if spark.conf.get(k, None) != v:  # without it answers could differ
+                raise
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and must be a shared file system.
-    Only when it is unset (local tests, the bench) do we pick a local folder.
+    Only when it is unset and the session is local (tests, the bench) is a
+    temporary folder chosen, once per application.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = jdir.get() if jdir.isDefined() else None
+    app = spark.sparkContext.applicationId
+    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(app)
     if not d:
-        d = tempfile.mkdtemp(prefix="quakes-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # some sessions refuse core confs at runtime
-            pass
-    try:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        d = _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="quakes-ckpt-")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(d)
-    except Exception:
-        pass
     return d.rstrip("/")
 
 
+# application id -> the folder chosen for a local session without the setting
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def table_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the checkpoint dir, private to this application."""
     app = spark.sparkContext.applicationId

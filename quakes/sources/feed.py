@@ -25,14 +25,26 @@ RENAMES = {"magType": "magtype", "magError": "magerror", "magNst": "magnst", "de
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page documents -> column ``f`` (one feature per row)."""
-    pages = spark.read.schema(FEED).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return pages.select(F.explode("features").alias("f"))
+    """Page documents -> column ``f`` (one feature per row).
+
+    A malformed page, or one without ``features``, stops the read.
+    """
+    pages = spark.read.schema(FEED).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return page_features(pages)
+
+
+def page_features(pages: DataFrame) -> DataFrame:
+    """One row per feature; raises on a page without a feature list."""
+    missing = F.raise_error(F.lit("feed page without features"))
+    return pages.select(F.explode(F.when(F.col("features").isNull(), missing).otherwise(F.col("features"))).alias("f"))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """S1 (splittable form): one GeoJSON feature per line -> column ``f``."""
-    return spark.read.schema(FEATURE).json(path).select(F.struct(*[F.col(c) for c in FEATURE.fieldNames()]).alias("f"))
+    """S1 (splittable form): one GeoJSON feature per line -> column ``f``.
+
+    A malformed line stops the read.
+    """
+    return spark.read.schema(FEATURE).option("mode", "FAILFAST").json(path).select(F.struct(*[F.col(c) for c in FEATURE.fieldNames()]).alias("f"))
 
 
 def flatten(features: DataFrame, col: str = "f") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,29 @@ from quakes.session import table_dir
 # Full microsecond precision for timestamps in CSV (Spark's default keeps ms).
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
+# Blanks around a text are kept; quotes inside one are doubled.
+CSV_TEXT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header row, no index column."""
-    df.write.mode(mode).option("header", True).option("timestampNTZFormat", TS_FORMAT).csv(path)
+    w = df.write.mode(mode).option("header", True).option("timestampNTZFormat", TS_FORMAT)
+    w.options(**CSV_TEXT).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema=EQ) -> DataFrame:
-    """CSV scan with a fixed schema (never inferred)."""
+    """CSV scan with a fixed schema (never inferred).
+
+    Quoted line breaks belong to their row, so a file is read by one task; the
+    sink's files are as small as its partitions.  An empty string comes back
+    as null.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "FAILFAST")
         .option("timestampNTZFormat", TS_FORMAT)
+        .options(multiLine=True, **CSV_TEXT)
         .csv(path)
     )
 
@@ -81,11 +93,12 @@ def materialize(df: DataFrame, *key: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     Cuts lineage, survives executor loss and keeps Parquet pruning and
-    pushdown for later readers.
+    pushdown for later readers.  Every call has a folder of its own, so two
+    builds over the same key do not overwrite each other.
     """
     spark = df.sparkSession
-    path = table_dir(spark, *key)
-    df.write.mode("overwrite").parquet(path)
+    path = table_dir(spark, uuid.uuid4().hex, *key)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 

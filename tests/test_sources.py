@@ -146,3 +146,49 @@ def test_long_running_ingest_picks_up_new_pages(spark, tmp_dir):
         assert spark.read.parquet(table).count() == 2
     finally:
         q.stop()
+
+
+def test_bad_pages_and_lines_stop_the_read(spark, tmp_dir):
+    import pytest
+
+    good = json.dumps(feature("1", dt.datetime(2024, 1, 5), [1.0, 2.0, 3.0]))
+    for name, text in (("cut", '{"type": "FeatureCollection", "features": [' + good), ("none", '{"type": "FeatureCollection"}')):
+        os.makedirs(f"{tmp_dir}/{name}")
+        with open(f"{tmp_dir}/{name}/page.json", "w") as f:
+            f.write(text)
+        with pytest.raises(Exception):
+            feed.flatten(feed.read_pages(spark, f"{tmp_dir}/{name}")).collect()
+        with pytest.raises(Exception):
+            ingest_pages(spark, f"{tmp_dir}/{name}", f"{tmp_dir}/{name}_table")
+    with open(f"{tmp_dir}/lines.json", "w") as f:
+        f.write(good + "\n" + good[:80] + "\n")
+    with pytest.raises(Exception):
+        feed.flatten(feed.read_features(spark, f"{tmp_dir}/lines.json")).collect()
+
+
+def test_csv_keeps_line_breaks_quotes_and_blanks(spark, tmp_dir):
+    rows = [("a\nb", 1), (' led "q" , x ', 2), (None, 3), ("back\\slash\"", 4)]
+    df = spark.createDataFrame(rows, "place string, n int")
+    write_csv(df, tmp_dir + "/csv")
+    back = read_csv(spark, tmp_dir + "/csv", df.schema)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_ingest_without_a_given_checkpoint_reads_each_page_once(spark, tmp_dir):
+    land, table = tmp_dir + "/landing", tmp_dir + "/raw_table"
+    os.makedirs(land)
+    write_page(f"{land}/1.json", [feature("1", dt.datetime(2024, 1, 5), [1.0, 2.0, 3.0])])
+    assert ingest_pages(spark, land, table) == 1
+    write_page(f"{land}/2.json", [feature("2", dt.datetime(2024, 2, 5), [1.0, 2.0, 3.0])])
+    assert ingest_pages(spark, land, table) == 1
+    assert ingest_pages(spark, land, table) == 0
+    assert spark.read.parquet(table).count() == 2
+
+
+def test_two_builds_stay_readable(spark):
+    from quakes.plans.pipeline import build_eq
+    from quakes.sources.fixture import quake_raw
+
+    raw = quake_raw(spark, "/root/testdata/sf0.001")
+    first, second = build_eq(raw, "k"), build_eq(raw, "k")
+    assert first.count() == second.count() == raw.count()
