@@ -50,17 +50,26 @@ def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFr
     return docs.join(k, docs[id_col].eqNullSafe(k["__keep_id"]), "left_semi")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``; ``v`` is the lesser,
+    so its components are then read off directly."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("met")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    seen = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("met").alias("met"))
+    return seen.where("out > 1 OR (out = 1 AND met = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, root)`` for every node of ``edges``; root is the least node that
     can be reached.  Alternating large-star / small-star rounds: each round joins
-    edges to their node's least neighbour, is written to the shared folder, and
-    the loop ends when a round changes nothing."""
+    edges to their node's least neighbour and is written to the shared folder; the
+    loop ends when every component is a star around its least node."""
     spark = edges.sparkSession
     e = store(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    before = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -70,9 +79,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")
         )
         e = store(small.select("s.u", "s.v").where("u <> v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v"), F.col("v")).distinct())
