@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import bisect
 import random
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,14 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-CHUNK_CHARS = 400_000  # encoded at a time, which bounds the tokenizer's memory
+WORD = re.compile(r"[^ \t\n\v\f\r]+")
+#: Words whose normal form is their lower case and whose boundaries are those of UNIT.
+PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+UNIT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+WORD_END = "</w>"
+CACHE_WORDS = 200_000  # in each of a task's two cache generations
+CACHE_CHARS = 48
+BATCH_WORDS = 20_000  # encoded at a time, which bounds the tokenizer's memory
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,36 +49,103 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encoded(texts: list[str | None], tok) -> Iterator[list[int]]:
-    at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHUNK_CHARS):
-            chars += len(texts[end] or "")
-            end += 1
-        for e in tok.encode_batch_fast([t or "" for t in texts[at:end]], add_special_tokens=False):
-            yield e.ids
-        at = end
+class WordEncoder:
+    """Ids of whole texts as little-endian bytes, remembered by word.
+
+    For tokenizers that lower-case, drop white space, separate letters, single digits
+    and symbols, and end each of these units with ``WORD_END``: white space is then a
+    boundary no token crosses, and a text's ids are those of its words.  Words not
+    remembered go to the tokenizer, Latin-1 words without ``'`` and ``<`` by their
+    units and past its normaliser, which would leave them as they are.  Two
+    generations bound what is remembered."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        probe = "Ab12 \n (É,) ab"
+        if self._full([probe])[0] != b"".join(self._units(["ab", "1", "2", "(", "é", ",)", "ab"])):
+            raise ValueError("a tokenizer of lower-case units is needed")
+
+    def _full(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), BATCH_WORDS):
+            for e in self.tok.encode_batch_fast(words[at : at + BATCH_WORDS], add_special_tokens=False):
+                out.append(struct.pack(f"<{len(e)}I", *e.ids))
+        return out
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of lower-case units, which the tokenizer reads as one text."""
+        out: list[bytes] = []
+        for at in range(0, len(units), BATCH_WORDS):
+            part = units[at : at + BATCH_WORDS]
+            ids = np.asarray(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) != len(part):
+                raise ValueError("a unit has no end of its own")
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        words = WORD.findall(text)
+        if len(self.cache) >= CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        cache, older, long = self.cache, self.older, {}  # long words are known for this text only
+        other, plain, units = [], [], set()
+        for w in set(words).difference(cache):
+            if w in older:
+                cache[w] = older[w]
+            elif PLAIN.fullmatch(w) and len(w) <= CACHE_CHARS:
+                parts = UNIT.findall(w.lower())
+                plain.append((w, parts))
+                units.update(parts)
+            else:
+                other.append(w)
+        new = [u for u in units if u not in cache]
+        if new:
+            cache.update(zip(new, self._units(new), strict=True))
+        for w, parts in plain:
+            cache[w] = b"".join([cache[u] for u in parts])
+        if other:
+            for w, ids in zip(other, self._full(other), strict=True):
+                (cache if len(w) <= CACHE_CHARS else long)[w] = ids
+        if long:
+            return b"".join([long[w] if w in long else cache[w] for w in words])
+        return b"".join([cache[w] for w in words])
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        from tokenizers import Tokenizer
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        tok = Tokenizer.from_file(path)
+        encoder = word_encoder(path)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 out: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), _encoded(part.column(1).to_pylist(), tok), strict=True):
-                    data = np.append(np.asarray(ids, "<u4"), np.uint32(END_ID)).astype("<u4")
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    data = np.frombuffer(encoder.encode(text or "") + struct.pack("<I", END_ID), "<u4")
                     for k, start in enumerate(range(0, len(data), capacity)):
                         p = data[start : start + capacity]
-                        row = (uid, doc_id, k, start, len(p), zlib.crc32(p.tobytes()))
+                        row = (uid, doc_id, k, start, len(p), zlib.crc32(p))
                         out.append((*row, p.astype(np.int32)) if with_ids else row)
                         uid += 1
                 cols = list(zip(*out, strict=True))

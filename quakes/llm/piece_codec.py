@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +25,12 @@ from quakes.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHE_ENTRIES = 200_000  # chunks kept per task; beyond it the cache starts anew
+CACHE_ENTRIES = 150_000  # chunks in each of a task's two cache generations
 CACHE_CHARS = 48
+SHORT = 64  # characters; longer chunks are merged through a heap
+NEVER = float("inf")
+LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
+SYMBOLS = string.punctuation
 
 
 def model_path(name: str = MODEL) -> str:
@@ -80,12 +86,19 @@ class PieceCodec:
         if 4 in kinds or 5 in kinds:
             raise ValueError("user-defined and unused pieces are not supported")
         self.rank = {p.piece: (i, -p.score) for i, p in enumerate(model.pieces) if p.type == 1}
+        self.cost = {piece: cost for piece, (_, cost) in self.rank.items()}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.unk = kinds.index(2)
         self.end = model.trainer_spec.eos_id
         crossing = any(MARK in p.lstrip(MARK) for p in self.rank)
-        self.chunks = re.compile(".+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.DOTALL)
+        follow = {p[k + 1] for p in self.rank for k in range(len(p) - 1) if LETTER.match(p[k])}
+        closing = re.escape("".join(c for c in SYMBOLS if c not in follow))
+        words = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+        if closing:  # symbols that follow a letter in no piece
+            words = f"{MARK}*{LETTER.pattern}++(?=[{closing}])|{words}"
+        self.chunks = re.compile(".+" if crossing else words, re.DOTALL)
         self.cache: dict[str, tuple[list[int], list[int], str]] = {}
+        self.older: dict[str, tuple[list[int], list[int], str]] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """The escaped text, and the source byte of each of its characters plus the
@@ -129,7 +142,38 @@ class PieceCodec:
     def merge(self, chunk: str) -> tuple[list[int], list[int]]:
         """Ids of a chunk and the number of characters of each (bytes of one
         character: all on the first, none on the rest)."""
-        n, rank = len(chunk), self.rank
+        ids, lengths = [], []
+        for part in self._merge_short(chunk) if len(chunk) <= SHORT else self._merge_long(chunk):
+            hit = self.rank.get(part)
+            if hit:
+                ids.append(hit[0])
+                lengths.append(len(part))
+            elif self.bytes:
+                raw = part.encode()
+                ids += [self.bytes[b] for b in raw]
+                lengths += [len(part)] + [0] * (len(raw) - 1)
+            else:
+                ids.append(self.unk)
+                lengths.append(len(part))
+        return ids, lengths
+
+    def _merge_short(self, chunk: str) -> list[str]:
+        """The cheapest pair, leftmost first, until no pair is a piece: a scan per merge."""
+        parts, get = list(chunk), self.cost.get
+        costs = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) < NEVER:
+            k = costs.index(least)
+            parts[k] = joined = parts[k] + parts.pop(k + 1)
+            del costs[k]
+            if k < len(costs):
+                costs[k] = get(joined + parts[k + 1], NEVER)
+            if k:
+                costs[k - 1] = get(parts[k - 1] + joined, NEVER)
+        return parts
+
+    def _merge_long(self, chunk: str) -> list[str]:
+        """The same through a heap of pairs."""
+        n, cost = len(chunk), self.cost
         size, before, after = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, int, int]] = []
 
@@ -137,9 +181,9 @@ class PieceCodec:
             right = after[left] if left >= 0 else n
             if left >= 0 and right < n:
                 length = size[left] + size[right]
-                hit = rank.get(chunk[left : left + length])
-                if hit:
-                    heapq.heappush(heap, (hit[1], left, size[left], length))
+                hit = cost.get(chunk[left : left + length])
+                if hit is not None:
+                    heapq.heappush(heap, (hit, left, size[left], length))
 
         for k in range(n - 1):
             offer(k)
@@ -154,39 +198,34 @@ class PieceCodec:
                 before[after[left]] = left
             offer(before[left])
             offer(left)
-        ids, lengths, at = [], [], 0
+        parts, at = [], 0
         while at < n:
-            hit = rank.get(chunk[at : at + size[at]])
-            if hit:
-                ids.append(hit[0])
-                lengths.append(size[at])
-            elif self.bytes:
-                raw = chunk[at : at + size[at]].encode()
-                ids += [self.bytes[b] for b in raw]
-                lengths += [size[at]] + [0] * (len(raw) - 1)
-            else:
-                ids.append(self.unk)
-                lengths.append(size[at])
+            parts.append(chunk[at : at + size[at]])
             at += size[at]
-        return ids, lengths
+        return parts
 
     def encode(self, text: str) -> tuple[list[int], list[str], list[int]]:
         """Ids without the end, their decimal forms by chunk, characters per id."""
-        ids, texts, lengths, cache = [], [], [], self.cache
+        ids, texts, lengths = [], [], []
         for chunk in self.chunks.findall(self.normalise(text)[0]):
-            got = cache.get(chunk)
-            if got is None:
-                own, size = self.merge(chunk)
-                got = own, size, " ".join(map(str, own))
-                if len(chunk) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[chunk] = got
+            got = self.cache.get(chunk) or self._remember(chunk)
             ids += got[0]
             lengths += got[1]
             texts.append(got[2])
         return ids, texts, lengths
 
+    def _remember(self, chunk: str) -> tuple[list[int], list[int], str]:
+        """A chunk's entry, through the older generation; a full one replaces it."""
+        got = self.older.get(chunk)
+        if got is None:
+            ids, lengths = self.merge(chunk)
+            got = ids, lengths, " ".join(map(str, ids))
+        if len(chunk) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_ENTRIES:
+                self.older, self.cache = self.cache, {}
+            self.cache[chunk] = got
+        return got
+
     def spans(self, text: str, lengths: list[int]) -> list[tuple[int, int]]:
         """Byte span of the original text under each id of ``encode``; the bytes of one
         character share its span."""
@@ -201,11 +240,17 @@ class PieceCodec:
         return out
 
 
+@lru_cache(maxsize=1)
+def piece_codec(path: str) -> PieceCodec:
+    """One for all tasks of a Python worker."""
+    return PieceCodec(path)
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        codec, library = PieceCodec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        codec, library = piece_codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             out = []
@@ -223,7 +268,7 @@ def _digests(path: str):
 
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(path)
+        codec = piece_codec(path)
         ints = pa.list_(pa.int32())
         for b in batches:
             for row in range(b.num_rows):  # a batch per text bounds memory by the longest one
