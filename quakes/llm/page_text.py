@@ -34,6 +34,16 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template title head svg iframe object select textarea button".split())
+#: What may stand in an open head: any other start tag, and any text, ends it (its end tag may be left out).
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Silent elements that may hold their like; a new one of the others ends the open one.
+NESTING = frozenset("svg object template".split())
+#: Start tags after which a silent element may turn out to have been left open.
+BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table tbody td tfoot th "
+    "thead tr ul".split()
+)
 #: Elements that a new block-level tag of the same kind closes (their end tags may be left out).
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog".split())
@@ -46,10 +56,17 @@ SPACES = re.compile(r"\s+")
 
 
 class _Blocks(HTMLParser):
+    """Text in a silent element is dropped up to the first block-level tag in it.  What
+    follows is dropped when the element's own end tag comes, and stays when there is
+    none: the element was left open and the page went on."""
+
+    CDATA_CONTENT_ELEMENTS, RCDATA_CONTENT_ELEMENTS = ("script", "style"), ()  # of any Python version
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []
-        self.silent = 0
+        self.quiet: list[list] = []  # open silent elements: place in the stack, blocks before their first block-level tag
+        self.silent = 0  # of them, those without a block-level tag so far
         self.text: list[str] = []
         self.blank = True  # nothing but white space in the block so far
         self.path: tuple = ()
@@ -61,12 +78,31 @@ class _Blocks(HTMLParser):
             self.blocks.append((self.path, text))
         self.text, self.blank = [], True
 
-    def _pop(self, at: int):
-        for tag, _ in self.stack[at:]:
-            self.silent -= tag in SILENT
+    def _pop(self, at: int, ended: bool = False):
+        """Elements from ``at`` on go; ``ended``: the first by its own end tag."""
+        while self.quiet and self.quiet[-1][0] >= at:
+            place, before = self.quiet.pop()
+            self.silent -= before is None
+            if ended and place == at and before is not None:
+                del self.blocks[before:]
         del self.stack[at:]
 
+    def _leave_open(self, tag):
+        """Ends the silent elements whose end tag was left out before ``tag``."""
+        for place, _ in self.quiet:
+            name = self.stack[place][0]
+            if name == "head":
+                left = tag not in HEAD and (tag == "body" or place == self.quiet[-1][0])
+            else:
+                left = name == tag and tag not in NESTING
+            if left:
+                self.flush()
+                self._pop(place)
+                break
+
     def handle_starttag(self, tag, attrs):
+        if self.quiet:
+            self._leave_open(tag)
         if tag == "br":
             self.text.append(" ")
         if tag not in INLINE:
@@ -80,13 +116,22 @@ class _Blocks(HTMLParser):
                         break
                     if t not in INLINE and t != "p":
                         break
+            if self.silent and tag in BLOCK:
+                self.silent = 0
+                for element in self.quiet:
+                    if element[1] is None:
+                        element[1] = len(self.blocks)
         if tag in VOID:
             return
         names = " ".join((v or "").lower() for k, v in attrs if k in ("class", "id", "role"))
         self.stack.append((tag, SPACES.sub(" ", re.sub(r"[_\-]+", " ", names)).strip()))
-        self.silent += tag in SILENT
+        if tag in SILENT:
+            self.quiet.append([len(self.stack) - 1, None])
+            self.silent += 1
 
     def handle_startendtag(self, tag, attrs):
+        if self.quiet:
+            self._leave_open(tag)
         if tag == "br":
             self.text.append(" ")
         elif tag not in INLINE:
@@ -97,13 +142,15 @@ class _Blocks(HTMLParser):
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                self._pop(k)
+                self._pop(k, ended=True)
                 break
 
     def handle_data(self, data):
+        if self.quiet and self.stack[-1][0] == "head" and not data.isspace():
+            self._pop(len(self.stack) - 1)
         if not self.silent:
             if self.blank and not data.isspace():
-                self.path, self.blank = tuple(x for x in self.stack if x[0] not in INLINE), False
+                self.path, self.blank = tuple(x for x in self.stack if x[0] not in INLINE and x[0] not in SILENT), False
             self.text.append(data)
 
 

@@ -138,6 +138,38 @@ def test_blocks_of_broken_pages():
     assert page_text.blocks_of(None) == [] and page_text.blocks_of("<<<>") is not None
 
 
+LEFT_OPEN = [
+    "<html><head><title>T</title><body><article><p>text",
+    "<html><head><title>T</title><article><p>text</article>",
+    "<head><meta charset=x><link rel=y><style>s</style>text",
+    "<head><noscript><p>no script</noscript><title>T</title><body><p>text",
+    "<head><title>T<body><article><p>text",
+    "<body><div><select><option>a<option>b<p>text</p></div>",
+    "<body><select><option>a<div>text</div>",
+    "<body><button>B<p>text",
+    "<body><button>B<p>text</p><button>C<i>D</i></button>",
+    "<body><svg><title>t</title><text>u</text><path d=x><p>text",
+    "<body><div><iframe src=x>none<section>text</section></div>",
+    "<body><noscript>no script<main><p>text</main>",
+    "<body><noscript><svg><p>gone</svg><p>text",
+]
+CLOSED = [
+    "<head><noscript><p>no script</p></noscript></head><p>text",
+    "<p>text</p><button><div>B</div><p>C</button><select><option><p>a</select><noscript><div>n</div></noscript>",
+    "<object><p>o<svg><p>s</object><p>text<template><div>u<template><p>v</template>w</template>",
+]
+
+
+@pytest.mark.parametrize("html", LEFT_OPEN + CLOSED)
+def test_blocks_after_silent_elements(html):
+    assert [t for _, t in page_text.blocks_of(html)] == ["text"]
+
+
+def test_left_out_head_end_changes_nothing():
+    pages = [page_text.blocks_of(f"<html><head><title>T</title>{end}<body class=b><article><p>one<p>two") for end in ("", "</head>")]
+    assert pages[0] == pages[1] and len(pages[0]) == 2
+
+
 def test_pages_with_gaps(spark):
     rows = [(1, None, None), (1, None, ""), (None, "u", "<article><p>x"), (2, "u", "<p>" * 3000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
