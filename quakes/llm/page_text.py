@@ -6,7 +6,7 @@ page's blocks, the hashed tag path (names and classes) and hashed words of each,
 and labels every block as main text or not, so a block is judged with the whole
 document around it.
 
-Training: ``train_pages`` pages (documented bound) with the least hash of their
+Training: ``train_pages`` distinct pages (documented bound) with the least hash of their
 content are labelled from the containers HTML itself declares: text under nav,
 header, footer, aside, form and the like, or in an element whose class or role
 names an advert, notice, menu, sidebar or comment, is not main text; text of the
@@ -304,11 +304,18 @@ def _extract(m):
 
 
 def fit(pages: DataFrame, train_pages: int = 300, train_chars: int = 100_000, html_col: str = "html") -> dict[str, np.ndarray]:
-    """Train on the ``train_pages`` pages of at most ``train_chars`` characters with the
-    least content hash: at most 30 MB reach the driver at the default bounds."""
-    fit_on = pages.where(F.length(html_col) <= train_chars).select(F.col(html_col).alias("h"))
-    rows = fit_on.orderBy(F.xxhash64("h"), "h").limit(train_pages).collect()
-    return train([r["h"] for r in rows])
+    """Train on the ``train_pages`` distinct pages of at most ``train_chars`` characters
+    with the least content hash: at most 30 MB reach the driver at the default bounds.
+    Stops when none of them has a block and there are other pages to label."""
+    size, key = F.length(html_col), F.xxhash64(html_col)
+    fits = size.between(1, train_chars)
+    least = [r["k"] for r in pages.where(fits).select(key.alias("k")).distinct().orderBy("k").limit(train_pages).collect()]
+    sampled = fits & key.isin(least)
+    rows = pages.where(sampled).select(key.alias("k"), F.col(html_col).alias("h")).distinct().collect()
+    sample = [r["h"] for r in sorted(rows, key=lambda r: (r["k"], r["h"].encode("utf-8", "surrogatepass")))][:train_pages]
+    if not any(map(blocks_of, sample)) and not pages.where((size > 0) & ~sampled).isEmpty():
+        raise ValueError(f"no page to train on: none of {len(sample)} with at most {train_chars} characters has text")
+    return train(sample)
 
 
 def extract(pages: DataFrame, model: dict | None = None, html_col: str = "html", **options) -> DataFrame:

@@ -113,6 +113,32 @@ def test_held_out_blocks(spark):
     assert right / total > 0.99
 
 
+def test_whole_pages_outside_the_sample(spark, monkeypatch):
+    taught, train = [], page_text.train
+    monkeypatch.setattr(page_text, "train", lambda pages: taught.extend(pages) or train(pages))
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    got = {r["page_id"]: r["text"] for r in page_text.extract(pages, train_pages=100).collect()}
+    new = [p for p in pages.collect() if p["html"] not in set(taught)]
+    assert len(taught) == 100 and len(new) >= 100
+    assert sum(got[p["page_id"]] == article(p["html"]) for p in new) >= 0.97 * len(new)
+
+
+def test_sample_is_of_distinct_pages(spark, monkeypatch):
+    monkeypatch.setattr(page_text, "train", lambda pages: pages)
+    html = [f"<article><p>page {k}" for k in range(6)]
+    df = spark.createDataFrame([(1, "u", h) for h in [*html, *html * 40]], "page_id long, url string, html string")
+    assert sorted(page_text.fit(df, train_pages=20)) == html
+    assert len(set(page_text.fit(df, train_pages=4))) == 4
+
+
+def test_nothing_to_train_on(spark):
+    rows = [(1, "u", "<article><p>" + "long " * 50), (2, "u", "<p></p>"), (3, "u", ""), (4, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with pytest.raises(ValueError, match="no page to train on"):
+        page_text.fit(df, train_chars=100)
+    assert [r["text"] for r in page_text.extract(df.where("page_id > 1")).collect()] == [""] * 3
+
+
 def test_gradient_of_the_labeller():
     rng = np.random.default_rng(0)
     m, x, y = page_text.new_model(), rng.normal(size=(5, page_text.PATH_DIM + page_text.WORD_DIM + 3)), np.array([1.0, 0, 0, 1, 1])
