@@ -1,8 +1,8 @@
 """Corpus pipeline: quality rules, exact dedup, near dedup, secrets, packing.
 
 Every stage works on the table its predecessor wrote; all but the last return the
-columns of ``documents``.  Documents that repeat id and text cannot be told apart
-and stay or go together until the near-dedup stage's packing counts each row.
+columns of ``documents``.  The dedup stages number the rows they are given and drop
+row by row, so one row of each group stays even where ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakes.llm.common import keep_ids, store, table
-from quakes.llm.exact_dedup import exact_dedup
+from quakes.llm.common import store, table
+from quakes.llm.exact_dedup import drop_copies
 from quakes.llm.packing import pack_documents
 from quakes.llm.quality_rules import quality_rules
 from quakes.llm.secret_scan import redact
@@ -27,12 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest id stays."""
-    return keep_ids(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts one row of the largest id stays."""
+    return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
+    """Of each group of linked fingerprints one row of the least id stays."""
     return drop_near_copies(docs)
 
 

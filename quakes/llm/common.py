@@ -44,10 +44,19 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is among ``kept``'s (null equals null)."""
-    k = kept.select(F.col(id_col).alias("__keep_id")).distinct()
-    return docs.join(k, docs[id_col].eqNullSafe(k["__keep_id"]), "left_semi")
+#: Key of a stored row, where rows may repeat id and text.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, stored so that every read sees the same keys."""
+    return store(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``numbered`` documents whose key is among ``kept``'s, without the key."""
+    k = kept.select(F.col(ROW).alias("__keep_row"))
+    return rows.join(k, rows[ROW] == k["__keep_row"], "left_semi").drop(ROW)
 
 
 def _stars(edges: DataFrame) -> bool:

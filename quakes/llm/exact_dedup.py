@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakes.llm.common import new_path, store, table, whole
+from quakes.llm.common import ROW, keep_rows, new_path, numbered, store, table, whole
 
 
 def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
@@ -36,26 +36,22 @@ def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     )
 
 
-def exact_dedup(
+def _entries_and_index(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 1_000_000,
     max_depth: int = 12,
     key: Column | None = None,
-) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
-
-    Null text counts as empty.  Texts are equal when identical; of equal texts the
-    largest id stays (a null id only if the group has no other).  Rows that repeat
-    both id and text cannot be told apart and get the same answer.  ``key`` replaces
-    the hash of the text (tests use a weak one to force chains).
-    """
+    carry: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """An entry for each row (``doc_id, h, text_sha256`` and the columns ``carry``) and
+    one index row for each text (``h, text_sha256, keep_id, group_size``)."""
     t = whole(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("text")).withColumn(
+    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("text"), *carry).withColumn(
         "h", (F.xxhash64("text") if key is None else key).cast("long")
     )
-    entries = store(rows.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256")), "entries")
+    entries = store(rows.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"), *carry), "entries")
     found = F.broadcast(directory(entries.select("h"), capacity, max_depth))  # 2**max_depth rows at most
 
     chains = (
@@ -76,6 +72,19 @@ def exact_dedup(
         .otherwise(F.sum("group_size"))
         .alias("group_size"),
     )
+    return entries, index
+
+
+def exact_dedup(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
+
+    Null text counts as empty.  Texts are equal when identical; of equal texts the
+    largest id stays (a null id only if the group has no other).  Rows that repeat
+    both id and text cannot be told apart and get the same answer (``drop_copies``
+    keeps one).  The option ``key`` replaces the hash of the text (tests use a weak
+    one to force chains).
+    """
+    entries, index = _entries_and_index(docs, **options)
     return entries.join(index, ["h", "text_sha256"]).select(
         "doc_id",
         "keep_id",
@@ -85,6 +94,18 @@ def exact_dedup(
     )
 
 
+def drop_copies(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each text: of the largest id (null only if there is no
+    other), of its rows the first.  Rows are told apart by a key of their own, so ids
+    may repeat, under one text or several, and be null."""
+    rows = numbered(docs)
+    entries, index = _entries_and_index(rows, carry=(ROW,), **options)
+    first = entries.groupBy("h", "text_sha256", "doc_id").agg(F.min(ROW).alias(ROW))
+    index = index.where("group_size > 0").withColumnsRenamed({"h": "index_h", "text_sha256": "index_sha256"})  # also the check of digests
+    same = (F.col("h") == F.col("index_h")) & (F.col("text_sha256") == F.col("index_sha256"))
+    return keep_rows(rows, first.join(index, same & F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+
+
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

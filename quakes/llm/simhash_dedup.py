@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakes.llm.common import components, keep_ids, store, table
+from quakes.llm.common import ROW, components, keep_rows, numbered, store, table
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -55,7 +55,8 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            more = dict(zip(b.schema.names[2:], b.columns[2:], strict=True))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": pa.array(fp.view(np.int64)), **more})
 
     return run
 
@@ -142,9 +143,29 @@ def simhash_links(fps: DataFrame, max_bits: int = 2, pair_limit: int = 64) -> Da
     return pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def simhash_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, pair_limit: int = 64
-) -> DataFrame:
+def _rows_and_components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    max_bits: int = 2,
+    pair_limit: int = 64,
+    carry: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` and the columns ``carry`` (long) of every row, and ``fp, root,
+    component_id`` of every fingerprint."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    schema = ", ".join(["doc_id long, fp long", *(f"{c} long" for c in carry)])
+    rows = store(slim.mapInArrow(_fingerprints(shingle), schema), "fingerprints")
+    classes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
+    links = simhash_links(classes.select("fp"), max_bits, pair_limit)
+    root = components(links, "a", "b")
+    rooted = classes.join(root, classes["fp"] == root["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rows, store(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+
+
+def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
     Null text counts as empty; texts without words have fingerprint zero and link
@@ -152,21 +173,19 @@ def simhash_dedup(
     component unless its component has no other id.  Rows that repeat are each
     returned.  An empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = store(slim.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
-    classes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
-    links = simhash_links(classes.select("fp"), max_bits, pair_limit)
-    root = components(links, "a", "b")
-    rooted = classes.join(root, classes["fp"] == root["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = store(rooted.join(least, "root").select("fp", "component_id"), "components")
+    rows, named = _rows_and_components(docs, **options)
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents that name their component: one of each group."""
-    verdict = simhash_dedup(docs, **options)
-    return keep_ids(docs, verdict.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of ``docs`` for each component: of the id that names it, of that id's
+    rows in the component the first.  Rows are told apart by a key of their own, so
+    ids may repeat, under one text or several, and be null."""
+    numbers = numbered(docs)
+    rows, named = _rows_and_components(numbers, carry=(ROW,), **options)
+    first = rows.groupBy("fp", "doc_id").agg(F.min(ROW).alias(ROW)).withColumnRenamed("fp", "row_fp")
+    naming = first.join(named, (F.col("row_fp") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_rows(numbers, naming.groupBy("root").agg(F.min(ROW).alias(ROW)))
 
 
 def op1_simhash_dedup(spark, sf_dir: str) -> DataFrame:

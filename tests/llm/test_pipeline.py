@@ -81,3 +81,20 @@ def test_stages_on_awkward_rows(spark, name, stage):
     if (name, stage) != corpus_pipeline.STAGES[-1]:
         assert out.columns == docs.columns
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Ids that repeat, under one text or two, or are null."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (1, a), (7, c), (7, b), (9, b), (None, b), (None, d), (None, d), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left(name, docs):
+        return sorted(((r["doc_id"], r["text"] or "") for r in stages[name](spark, docs, SF).collect()), key=repr)
+
+    assert left("exact_dedup", docs) == sorted([(1, a), (7, c), (9, b), (None, d), (None, "")], key=repr)
+    # near copies: white space and case do not count, and the least id names a group
+    near = docs.union(docs.selectExpr("doc_id", "concat(upper(text), ' ')")).where("text is not null")
+    got = left("simhash_dedup", near)
+    assert sorted(((i, t.lower().strip()) for i, t in got), key=repr) == sorted([(1, a), (7, c), (7, b), (None, d), (None, "")], key=repr)
