@@ -17,6 +17,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,8 +98,8 @@ class PieceCodec:
         if closing:  # symbols that follow a letter in no piece
             words = f"{MARK}*{LETTER.pattern}++(?=[{closing}])|{words}"
         self.chunks = re.compile(".+" if crossing else words, re.DOTALL)
-        self.cache: dict[str, tuple[list[int], list[int], str]] = {}
-        self.older: dict[str, tuple[list[int], list[int], str]] = {}
+        self.cache: dict[str, tuple[list[int], bytes, str]] = {}
+        self.older: dict[str, tuple[list[int], bytes, str]] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """The escaped text, and the source byte of each of its characters plus the
@@ -131,13 +132,15 @@ class PieceCodec:
             chars, source = [" ", *chars], [source[0], *source]
         return "".join(chars).replace(" ", MARK), [*source, end]
 
-    def align(self, text: str) -> list[int]:
+    def align(self, text: str) -> np.ndarray:
         """Source bytes where only the prefix and the escape change the text."""
-        out, at = [0] if self.prefix else [], 0
-        for c in text:
-            out.append(at)
-            at += len(c.encode())
-        return [*out, at]
+        if text.isascii():
+            at = np.arange(len(text) + 1)
+        else:
+            code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            at = np.zeros(len(code) + 1, np.int64)
+            np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), out=at[1:])
+        return np.concatenate([at[:1], at]) if self.prefix else at
 
     def merge(self, chunk: str) -> tuple[list[int], list[int]]:
         """Ids of a chunk and the number of characters of each (bytes of one
@@ -204,40 +207,52 @@ class PieceCodec:
             at += size[at]
         return parts
 
-    def encode(self, text: str) -> tuple[list[int], list[str], list[int]]:
+    def encode(self, text: str) -> tuple[list[int], list[str], np.ndarray]:
         """Ids without the end, their decimal forms by chunk, characters per id."""
         ids, texts, lengths = [], [], []
         for chunk in self.chunks.findall(self.normalise(text)[0]):
             got = self.cache.get(chunk) or self._remember(chunk)
             ids += got[0]
-            lengths += got[1]
+            lengths.append(got[1])
             texts.append(got[2])
-        return ids, texts, lengths
+        return ids, texts, np.frombuffer(b"".join(lengths), np.uint32)
 
-    def _remember(self, chunk: str) -> tuple[list[int], list[int], str]:
+    def _remember(self, chunk: str) -> tuple[list[int], bytes, str]:
         """A chunk's entry, through the older generation; a full one replaces it."""
         got = self.older.get(chunk)
         if got is None:
             ids, lengths = self.merge(chunk)
-            got = ids, lengths, " ".join(map(str, ids))
+            got = ids, np.array(lengths, np.uint32).tobytes(), " ".join(map(str, ids))
         if len(chunk) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.older, self.cache = self.cache, {}
             self.cache[chunk] = got
         return got
 
-    def spans(self, text: str, lengths: list[int]) -> list[tuple[int, int]]:
-        """Byte span of the original text under each id of ``encode``; the bytes of one
-        character share its span."""
-        source = self.normalise(text)[1]
-        if source is None:
-            source = self.align(text)
-        out, at, last = [], 0, (0, 0)
-        for n in lengths:
-            last = (source[at], source[at + n]) if n else last
-            out.append(last)
-            at += n
-        return out
+    def span_arrays(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte in the original text, and the byte after the last, of each id of
+        ``encode``; the bytes of one character share its span."""
+        source = self.normalise(text)[1] if self.map.units or self.squeeze else None
+        source = self.align(text) if source is None else np.array(source)
+        to = np.cumsum(lengths, dtype=np.int64)
+        starts, ends = source[to - lengths], source[to]
+        if not lengths.all():
+            own = np.maximum.accumulate(np.where(lengths > 0, np.arange(len(lengths)), 0))  # the id whose span each has
+            starts, ends = starts[own], ends[own]
+        return starts, ends
+
+    def spans(self, text: str, lengths: np.ndarray) -> list[tuple[int, int]]:
+        """The same as pairs."""
+        starts, ends = self.span_arrays(text, lengths)
+        return list(zip(starts.tolist(), ends.tolist(), strict=True))
+
+    def rows(self, text: str) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
+        """Ids with the end id, their decimal forms by chunk, first bytes and ends of
+        their spans (the end id: empty, at the end)."""
+        ids, texts, lengths = self.encode(text)
+        starts, ends = self.span_arrays(text, lengths)
+        size = len(text) if text.isascii() else len(text.encode())
+        return [*ids, self.end], [*texts, str(self.end)], np.append(starts, size), np.append(ends, size)
 
 
 @lru_cache(maxsize=1)
@@ -255,12 +270,13 @@ def _digests(path: str):
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
-                ids, texts, _ = codec.encode(text or "")
-                out.append((len(ids) + 1, sha(" ".join([*texts, str(codec.end)])), sha(library.decode([*ids, codec.end]))))
-            n, a, d = zip(*out, strict=True) if out else ((), (), ())
+                ids, texts, starts, ends = codec.rows(text or "")
+                spans = hashlib.sha256(np.stack([starts, ends], 1).astype("<u4").tobytes()).hexdigest()
+                out.append((len(ids), sha(" ".join(texts)), sha(library.decode(ids)), spans))
+            n, *digests = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b.column(0), pa.array(n, pa.int64()), *(pa.array(d, pa.string()) for d in digests)],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
             )
 
     return run
@@ -273,14 +289,13 @@ def _pieces(path: str):
         for b in batches:
             for row in range(b.num_rows):  # a batch per text bounds memory by the longest one
                 text = b.column(1)[row].as_py() or ""
-                ids, _, lengths = codec.encode(text)
-                spans = [*codec.spans(text, lengths), (len(text.encode()),) * 2]
+                ids, _, starts, ends = codec.rows(text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(row, 1),
-                        pa.array([[*ids, codec.end]], ints),
-                        pa.array([[s[0] for s in spans]], ints),
-                        pa.array([[s[1] for s in spans]], ints),
+                        pa.array([ids], ints),
+                        pa.array([starts], ints),
+                        pa.array([ends], ints),
                     ],
                     names=["doc_id", "ids", "starts", "ends"],
                 )
@@ -296,11 +311,19 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return slim.mapInArrow(_pieces(model or model_path()), "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
-def piece_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """Token count and digests of ids and decoded text per row; cases as above."""
+def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """Of the rows of ``encode_documents``: number of ids, digests of the ids, of their
+    decoded text and of the spans (first byte and end of each id, 32 bits each, least
+    byte first); cases as above."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_digests(model or model_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+    return slim.mapInArrow(_digests(model or model_path()), schema)
+
+
+def piece_digests(docs: DataFrame, **options) -> DataFrame:
+    """The same without the spans."""
+    return encoding_digests(docs, **options).drop("spans_sha256")
 
 
 def op10_piece_codec(spark, sf_dir: str) -> DataFrame:
-    return piece_digests(table(spark, sf_dir, "documents"))
+    return encoding_digests(table(spark, sf_dir, "documents"))

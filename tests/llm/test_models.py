@@ -271,6 +271,37 @@ def test_op10(spark, library):
     assert piece_codec.piece_digests(df.limit(0)).count() == 0
 
 
+def test_op10_digests_the_spans(spark, library, tmp_path):
+    """Each piece's bytes in the original text, found by a plain walk over the library's pieces."""
+    texts = [*TEXTS, "é日😀 naïve\x01 text\n", "ab cé😀▁\n<>01the  "]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(20).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans_sha256"] for r in piece_codec.op10_piece_codec(spark, str(tmp_path)).collect()}
+    full = {r["doc_id"]: list(zip(r["starts"], r["ends"], strict=True)) for r in piece_codec.encode_documents(df).collect()}
+    for k, t in enumerate(texts):
+        want, at, rest, prefix = [], 0, 0, bool(t)
+        for piece in library.encode(t, out_type=str):
+            if re.fullmatch("<0x[0-9A-F]{2}>", piece) and not t[at : at + 6] == piece:
+                if not rest:
+                    rest = len(t[at].encode())
+                    want.append((len(t[:at].encode()), len(t[: at + 1].encode())))
+                    at += 1
+                else:
+                    want.append(want[-1])
+                rest -= 1
+                continue
+            n = len(piece) - prefix
+            prefix = False
+            assert t[at : at + n].replace(" ", "▁") == piece[len(piece) - n :]
+            want.append((len(t[:at].encode()), len(t[: at + n].encode())))
+            at += n
+        want.append((len(t.encode()),) * 2)
+        assert full[k] == want
+        data = b"".join(x.to_bytes(4, "little") for s in want for x in s)
+        assert got[k] == hashlib.sha256(data).hexdigest()
+
+
 def test_random_texts_equal_the_library(library):
     rng, codec = random.Random(2), piece_codec.PieceCodec(piece_codec.model_path())
     for _ in range(2000):
