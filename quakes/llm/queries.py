@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from quakes.llm.chat_windows import op4_chat_windows
 from quakes.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from quakes.llm.feast_whitening import op12_feast_whitening
+from quakes.llm.line_dedup import OP11_SQL, op11_line_dedup
 from quakes.llm.packing import op8_best_fit_packing
 from quakes.llm.page_text import op5_page_text
+from quakes.llm.periodic_runs import op13_periodic_runs
 from quakes.llm.piece_codec import op10_piece_codec
 from quakes.llm.pitman_yor import op2_pitman_yor
 from quakes.llm.quality_rules import op7_quality_rules
@@ -27,13 +29,18 @@ QUERIES = {
         op8_best_fit_packing,
         op9_secret_scan,
         op10_piece_codec,
+        op11_line_dedup,
+        op12_feast_whitening,
+        op13_periodic_runs,
     )
 }
 
-SQL = {"op3_exact_dedup": OP3_SQL}
+SQL = {"op3_exact_dedup": OP3_SQL, "op11_line_dedup": OP11_SQL}
 
 
 def queries():
+    import corpus_pipeline  # lies above the package, which calls it from nowhere else
+
     return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
