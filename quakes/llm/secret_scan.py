@@ -57,6 +57,10 @@ def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Col
     return F.when(text.rlike(pattern), F.aggregate(steps, first, step, lambda a: a["out"])).otherwise(F.expr(NO_SPANS))
 
 
+def of_rank(rank: int):
+    return lambda span: span["rank"] == rank
+
+
 def scan(text: Column, rules=RULES) -> Column:
     """All spans of a text by start, then kind."""
     return F.array_sort(F.concat(*(_spans(text, i, *r[1:]) for i, r in enumerate(rules))))
@@ -130,6 +134,7 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
         )
 
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    # a function of one argument each: a second one would be the element's index
+    counts = [F.size(F.filter(spans, of_rank(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     base = F.filter(spans, lambda s: s["rank"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"))
