@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once_per_worker(key: tuple, make):
+    """``make()``, kept for all tasks of a Python worker.  The keeper is a module of the
+    worker process, as functions travel by value and do not share their globals."""
+    kept = sys.modules.setdefault("llm_worker_kept", types.ModuleType("llm_worker_kept")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -18,7 +18,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakes.llm.common import store, table
+from quakes.llm.common import once_per_worker, store, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -124,10 +123,9 @@ class WordEncoder:
         return b"".join([cache[w] for w in words])
 
 
-@lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One for all tasks of a Python worker."""
-    return WordEncoder(path)
+    return once_per_worker(("word_encoder", path), lambda: WordEncoder(path))
 
 
 def _cut(path: str, capacity: int, with_ids: bool):

@@ -15,14 +15,13 @@ import re
 import string
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakes.llm.common import table
+from quakes.llm.common import once_per_worker, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -255,10 +254,9 @@ class PieceCodec:
         return [*ids, self.end], [*texts, str(self.end)], np.append(starts, size), np.append(ends, size)
 
 
-@lru_cache(maxsize=1)
 def piece_codec(path: str) -> PieceCodec:
     """One for all tasks of a Python worker."""
-    return PieceCodec(path)
+    return once_per_worker(("piece_codec", path), lambda: PieceCodec(path))
 
 
 def _digests(path: str):
