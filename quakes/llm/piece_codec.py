@@ -15,6 +15,7 @@ import re
 import string
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -206,15 +207,16 @@ class PieceCodec:
             at += size[at]
         return parts
 
-    def encode(self, text: str) -> tuple[list[int], list[str], np.ndarray]:
+    def encode(self, text: str) -> tuple[list[int], tuple[str, ...], np.ndarray]:
         """Ids without the end, their decimal forms by chunk, characters per id."""
-        ids, texts, lengths = [], [], []
-        for chunk in self.chunks.findall(self.normalise(text)[0]):
-            got = self.cache.get(chunk) or self._remember(chunk)
-            ids += got[0]
-            lengths.append(got[1])
-            texts.append(got[2])
-        return ids, texts, np.frombuffer(b"".join(lengths), np.uint32)
+        chunks = self.chunks.findall(self.normalise(text)[0])
+        entries = list(map(self.cache.get, chunks))
+        if None in entries:
+            for k, entry in enumerate(entries):
+                if entry is None:
+                    entries[k] = self.cache.get(chunks[k]) or self._remember(chunks[k])
+        ids, lengths, texts = zip(*entries, strict=True) if entries else ((), (), ())
+        return list(chain.from_iterable(ids)), texts, np.frombuffer(b"".join(lengths), np.uint32)
 
     def _remember(self, chunk: str) -> tuple[list[int], bytes, str]:
         """A chunk's entry, through the older generation; a full one replaces it."""
