@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -52,7 +53,10 @@ BOILER_WORDS = re.compile(
     r"sidebar|widget|footer|header|masthead|share|social|related|newsletter|subscribe|login|comments?|replies|disqus)\b"
 )
 PATH_DIM, WORD_DIM, HIDDEN = 64, 32, 16
+PAGES = 128  # parsed and labelled together
+GROUP_BLOCKS = 4096  # whose features are held at a time
 SPACES = re.compile(r"\s+")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class _Blocks(HTMLParser):
@@ -65,6 +69,7 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []
+        self.open: defaultdict[str, int] = defaultdict(int)  # of each tag in the stack
         self.quiet: list[list] = []  # open silent elements: place in the stack, blocks before their first block-level tag
         self.silent = 0  # of them, those without a block-level tag so far
         self.text: list[str] = []
@@ -85,6 +90,8 @@ class _Blocks(HTMLParser):
             self.silent -= before is None
             if ended and place == at and before is not None:
                 del self.blocks[before:]
+        for t, _ in self.stack[at:]:
+            self.open[t] -= 1
         del self.stack[at:]
 
     def _leave_open(self, tag):
@@ -107,7 +114,7 @@ class _Blocks(HTMLParser):
             self.text.append(" ")
         if tag not in INLINE:
             self.flush()
-            if tag in SELF_CLOSING or (self.stack and any(t == "p" for t, _ in self.stack)):
+            if tag in SELF_CLOSING or self.open["p"]:
                 # a block-level tag ends an open p; li, td and so on end their like in the same container
                 for k in range(len(self.stack) - 1, -1, -1):
                     t = self.stack[k][0]
@@ -124,6 +131,7 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         names = " ".join((v or "").lower() for k, v in attrs if k in ("class", "id", "role"))
+        self.open[tag] += 1
         self.stack.append((tag, SPACES.sub(" ", re.sub(r"[_\-]+", " ", names)).strip()))
         if tag in SILENT:
             self.quiet.append([len(self.stack) - 1, None])
@@ -140,6 +148,8 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._pop(k, ended=True)
@@ -175,29 +185,63 @@ def declared(blocks: list[tuple[tuple, str]]) -> np.ndarray:
     )
 
 
-def _hash(out: np.ndarray, token: str, scale: float = 1.0) -> None:
+def _hash(out: np.ndarray, token: str) -> None:
     h = zlib.crc32(token.encode("utf-8", "surrogatepass"))
-    out[h % len(out)] += scale if h >> 31 else -scale
+    out[h % len(out)] += 1.0 if h >> 31 else -1.0
+
+
+def _word_slot(word: str) -> int:
+    """Place of a word's count: the first WORD_DIM add, the others subtract."""
+    h = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
+    return h % WORD_DIM + (0 if h >> 31 else WORD_DIM)
+
+
+class Slots(dict):
+    """Word slots, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        slot = self[word] = _word_slot(word)
+        return slot
+
+
+def _path_vector(path: tuple) -> np.ndarray:
+    v = np.zeros(PATH_DIM)
+    for tag, names in path:
+        _hash(v, tag)
+        for name in names.split():
+            _hash(v, f".{name}")
+    return v
 
 
 def features(blocks: list[tuple[tuple, str]], cache: dict | None = None) -> np.ndarray:
-    x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + 3))
+    n, d = len(blocks), PATH_DIM + WORD_DIM
+    x = np.zeros((n, d + 3))
+    if not n:
+        return x
     seen = {} if cache is None else cache
-    for row, (path, text) in zip(x, blocks, strict=True):
-        if path not in seen:
+    slots = seen.setdefault(None, Slots())
+    paths, sizes, at, last, letters = [], [], [], [], []
+    for path, text in blocks:
+        v = seen.get(path)
+        if v is None:
             if len(seen) > 10_000:
                 seen.clear()
-            v = np.zeros(PATH_DIM)
-            for tag, names in path:
-                _hash(v, tag)
-                for name in names.split():
-                    _hash(v, f".{name}")
-            seen[path] = v
-        row[:PATH_DIM] = seen[path]
+                seen[None] = slots
+            v = seen[path] = _path_vector(path)
+        paths.append(v)
         words = text.split()
-        for w in words:
-            _hash(row[PATH_DIM : PATH_DIM + WORD_DIM], w.lower(), 1 / len(words) ** 0.5)
-        row[-3:] = np.log1p(len(words)) / 4, text[-1] in ".!?", sum(map(str.isalpha, text)) / len(text)
+        sizes.append(len(words))
+        at += map(slots.__getitem__, words)
+        last.append(text[-1] in ".!?")
+        letters.append(sum(map(len, LETTERS.findall(text))) / len(text))
+    x[:, :PATH_DIM] = paths
+    size = np.array(sizes)
+    counts = np.bincount(np.repeat(np.arange(n) * (2 * WORD_DIM), size) + np.array(at, np.int64), minlength=2 * WORD_DIM * n)
+    counts = counts.reshape(n, 2, WORD_DIM)
+    x[:, PATH_DIM:d] = (counts[:, 0] - counts[:, 1]) / np.sqrt(np.maximum(size, 1))[:, None]
+    x[:, d], x[:, d + 1], x[:, d + 2] = np.log1p(size) / 4, last, letters
     return x
 
 
@@ -246,9 +290,60 @@ def _back(x, u, tape, dh_out):
     return x.T @ dz, du, dz.sum(0)
 
 
+def _march(z, u, rows, lengths, state):
+    """Hidden states of several sequences in lock step, the longest first; ``rows(t, n)``
+    are the rows of the first n sequences at step t.  ``state`` is carried on in place."""
+    h, c = state
+    n, out = HIDDEN, np.zeros((len(z), HIDDEN))
+    for t in range(int(lengths[0]) if len(lengths) else 0):
+        live = int(np.searchsorted(-lengths, -t, "left"))  # sequences longer than t
+        at = rows(t, live)
+        g = z[at] + h[:live] @ u
+        s = _sigmoid(g[:, : 3 * n])
+        c[:live] = s[:, n : 2 * n] * c[:live] + s[:, :n] * np.tanh(g[:, 3 * n :])
+        h[:live] = s[:, 2 * n :] * np.tanh(c[:live])
+        out[at] = h[:live]
+    return out
+
+
+def predict_pages(m, pages: list[list[tuple[tuple, str]]], cache: dict | None = None) -> list[np.ndarray]:
+    """For each page's blocks the probabilities of main text.  Pages are read in lock
+    step; a page of more than GROUP_BLOCKS is read in pieces with the state carried from
+    one to the next, once from each end, so features of a bounded number are held."""
+    order = sorted(range(len(pages)), key=lambda k: -len(pages[k]))
+    out: list[np.ndarray] = [np.zeros(0)] * len(pages)
+    zeros = lambda k: (np.zeros((k, HIDDEN)), np.zeros((k, HIDDEN)))
+    while order:
+        if len(pages[order[0]]) > GROUP_BLOCKS:
+            k = order.pop(0)
+            blocks, one = pages[k], m["c"][0] + np.zeros(len(pages[k]))
+            for side, weight, step in (("f", m["o"][:HIDDEN], 1), ("b", m["o"][HIDDEN:], -1)):
+                state = zeros(1)
+                for lo in range(0, len(blocks), GROUP_BLOCKS)[::step]:
+                    z = features(blocks[lo : lo + GROUP_BLOCKS], cache) @ m[f"w{side}"] + m[f"a{side}"]
+                    n = len(z)
+                    rows = (lambda t, _: np.array([t])) if step == 1 else (lambda t, _, n=n: np.array([n - 1 - t]))
+                    one[lo : lo + n] += _march(z, m[f"u{side}"], rows, np.array([n]), state) @ weight
+            out[k] = _sigmoid(one)
+            continue
+        group, size = [], 0
+        while order and (not group or size + len(pages[order[0]]) <= GROUP_BLOCKS):
+            group.append(order.pop(0))
+            size += len(pages[group[-1]])
+        lengths = np.array([len(pages[k]) for k in group])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        x = features([b for k in group for b in pages[k]], cache)
+        f = _march(x @ m["wf"] + m["af"], m["uf"], lambda t, n, s=starts: s[:n] + t, lengths, zeros(len(group)))
+        b = _march(x @ m["wb"] + m["ab"], m["ub"], lambda t, n, e=ends: e[:n] - 1 - t, lengths, zeros(len(group)))
+        p = _sigmoid(f @ m["o"][:HIDDEN] + b @ m["o"][HIDDEN:] + m["c"][0])
+        for k, lo, hi in zip(group, starts, ends, strict=True):
+            out[k] = p[lo:hi]
+    return out
+
+
 def predict(m, x) -> np.ndarray:
-    if not len(x):
-        return np.zeros(0)
+    """Probabilities of one sequence, as training sees them (tests compare the two)."""
     f, _ = _run(x, m["wf"], m["uf"], m["af"])
     b, _ = _run(x[::-1], m["wb"], m["ub"], m["ab"])
     return _sigmoid(f @ m["o"][:HIDDEN] + b[::-1] @ m["o"][HIDDEN:] + m["c"][0])
@@ -282,19 +377,23 @@ def train(pages: list[str], epochs: int = 4, rate: float = 0.01, seed: int = 7)
     return m
 
 
+def main_texts(m, pages: list[str | None], cache: dict | None = None) -> list[str]:
+    blocks = [blocks_of(html) for html in pages]
+    kept = predict_pages(m, blocks, cache)
+    return ["\n".join([text for (_, text), p in zip(b, k, strict=True) if p >= 0.5]) for b, k in zip(blocks, kept, strict=True)]
+
+
 def main_text(m, html: str | None, cache: dict | None = None) -> str:
-    blocks = blocks_of(html)
-    keep = predict(m, features(blocks, cache)) >= 0.5
-    return "\n".join(text for (_, text), k in zip(blocks, keep, strict=True) if k)
+    return main_texts(m, [html], cache)[0]
 
 
 def _extract(m):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [main_text(m, h, cache) for h in part.column(2).to_pylist()]
+            for at in range(0, b.num_rows, PAGES):
+                part = b.slice(at, PAGES)
+                texts = main_texts(m, part.column(2).to_pylist(), cache)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

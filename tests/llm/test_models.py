@@ -107,7 +107,7 @@ def test_held_out_blocks(spark):
     right = total = 0
     for p in pages[120:]:
         blocks = page_text.blocks_of(p)
-        keep = page_text.predict(model, page_text.features(blocks)) >= 0.5
+        keep = page_text.predict_pages(model, [blocks])[0] >= 0.5
         right += int((keep == (page_text.declared(blocks) > 0.5)).sum())
         total += len(blocks)
     assert right / total > 0.99
@@ -327,3 +327,15 @@ def test_longest_prefix_of_a_character_map():
     codec = piece_codec.PieceCodec(piece_codec.model_path())
     codec.map = m
     assert codec.normalise("cab a") == ("▁cyz▁x", [0, 0, 1, 1, 3, 4, 5])
+
+
+def test_pages_in_lock_step_and_in_pieces_read_the_same(spark, monkeypatch):
+    pages = [page_text.blocks_of(r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    pages = [[], *pages, pages[0] * 40, []]
+    model = page_text.new_model(3)
+    want = [page_text.predict(model, page_text.features(b)) if b else np.zeros(0) for b in pages]
+    for group in (10**6, 100, 7):
+        monkeypatch.setattr(page_text, "GROUP_BLOCKS", group)
+        got = page_text.predict_pages(model, pages)
+        assert all(np.allclose(g, w, atol=1e-12) for g, w in zip(got, want, strict=True))
+    assert page_text.predict_pages(model, []) == []
