@@ -5,9 +5,11 @@ pieces are sequences of their own.  The rest are dealt into shards of about
 ``shard_pieces`` by a hash of their row, and each shard is packed by ``islands``
 populations: an individual is a set of bins; crossover puts the well-filled bins of
 one parent into the other, drops the bins that hold duplicates of them and best-fits
-the displaced pieces again.  Between rounds each island's elite migrates to the next
-island of its shard through a shuffle.  An island ends early when its elite meets
-the lower bound ceil(tokens / capacity), which no packing beats.
+the displaced pieces again, where a displaced piece may take the place of one or two
+smaller ones that fill a bin less.  Between rounds each island's elite migrates to the
+next island of its shard through a shuffle.  Islands start from one best-fit packing of
+their shard; a shard where it meets the lower bound ceil(tokens / capacity), which no
+packing beats, is done, and an island ends early when its elite meets it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,13 +35,13 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-WORD = re.compile(r"[^ \t\n\v\f\r]+")
 #: Words whose normal form is their lower case and whose boundaries are those of UNIT.
 PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 UNIT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 WORD_END = "</w>"
 CACHE_WORDS = 200_000  # in each of a task's two cache generations
 CACHE_CHARS = 48
+REFILL_PASSES = 4
 BATCH_WORDS = 20_000  # encoded at a time, which bounds the tokenizer's memory
 
 
@@ -69,8 +72,9 @@ class WordEncoder:
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.units: dict[str, bytes] = {}
         probe = "Ab12 \n (É,) ab"
         if self._full([probe])[0] != b"".join(self._units(["ab", "1", "2", "(", "é", ",)", "ab"])):
             raise ValueError("a tokenizer of lower-case units is needed")
@@ -96,31 +100,44 @@ class WordEncoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        words = WORD.findall(text)
+        words = text.encode().split()  # at ASCII white space
+        found = list(map(self.cache.get, words))
+        if None in found:
+            new = self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return b"".join(found)
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not in the cache; all but long words go into it."""
         if len(self.cache) >= CACHE_WORDS:
             self.older, self.cache = self.cache, {}
-        cache, older, long = self.cache, self.older, {}  # long words are known for this text only
+        cache, older, out = self.cache, self.older, {}
         other, plain, units = [], [], set()
-        for w in set(words).difference(cache):
-            if w in older:
-                cache[w] = older[w]
-            elif PLAIN.fullmatch(w) and len(w) <= CACHE_CHARS:
+        for raw in words:
+            if raw in older:
+                out[raw] = cache[raw] = older[raw]
+                continue
+            w = raw.decode()
+            if len(w) <= CACHE_CHARS and PLAIN.fullmatch(w):
                 parts = UNIT.findall(w.lower())
-                plain.append((w, parts))
+                plain.append((raw, parts))
                 units.update(parts)
             else:
-                other.append(w)
-        new = [u for u in units if u not in cache]
-        if new:
-            cache.update(zip(new, self._units(new), strict=True))
-        for w, parts in plain:
-            cache[w] = b"".join([cache[u] for u in parts])
+                other.append((raw, w))
+        ids = self.units
+        if new := [u for u in units if u not in ids]:
+            if len(ids) >= CACHE_WORDS:
+                ids.clear()
+                new = list(units)
+            ids.update(zip(new, self._units(new), strict=True))
+        for raw, parts in plain:
+            out[raw] = cache[raw] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[u] for u in parts])
         if other:
-            for w, ids in zip(other, self._full(other), strict=True):
-                (cache if len(w) <= CACHE_CHARS else long)[w] = ids
-        if long:
-            return b"".join([long[w] if w in long else cache[w] for w in words])
-        return b"".join([cache[w] for w in words])
+            for (raw, w), got in zip(other, self._full([w for _, w in other]), strict=True):
+                out[raw] = got
+                if len(w) <= CACHE_CHARS:
+                    cache[raw] = got
+        return out
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -185,6 +202,37 @@ def fitness(bins: list[list[int]], length: list[int], capacity: int) -> tuple[in
     return -len(bins), sum((sum(length[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def refill(displaced: list[int], bins: list[list[int]], length: list[int], capacity: int) -> list[list[int]]:
+    """Put ``displaced`` back: where a displaced piece fills a bin better than one or two
+    of its pieces they change places, so ever smaller pieces are left for best fit."""
+    bins = [list(b) for b in bins]
+    free = sorted((length[i], i) for i in displaced)
+    room = [capacity - sum(length[i] for i in b) for b in bins]
+    for _ in range(REFILL_PASSES):
+        changed = False
+        for k in sorted((k for k, r in enumerate(room) if r), key=lambda k: room[k]):
+            items, best = bins[k], None
+            for out in (*((x,) for x in items), *combinations(items, 2)):
+                total = sum(length[x] for x in out)
+                at = bisect.bisect_right(free, (room[k] + total, len(length))) - 1
+                if at >= 0 and free[at][0] > total and (best is None or free[at][0] - total > best[0]):
+                    best = free[at][0] - total, at, out
+                    if best[0] == room[k]:
+                        break
+            if best:
+                gain, at, out = best
+                _, i = free.pop(at)
+                for x in out:
+                    items.remove(x)
+                    bisect.insort(free, (length[x], x))
+                items.append(i)
+                room[k] -= gain
+                changed = True
+        if not changed:
+            break
+    return best_fit([i for _, i in free], length, capacity, bins)
+
+
 def crossover(a, b, length, capacity, rng):
     """Bins of ``a``, the fuller the likelier, injected into ``b``."""
     fill = [sum(length[i] for i in x) / capacity for x in a]
@@ -192,14 +240,14 @@ def crossover(a, b, length, capacity, rng):
     held = {i for x in given for i in x}
     kept = [x for x in b if held.isdisjoint(x)]
     displaced = [i for x in b if not held.isdisjoint(x) for i in x if i not in held]
-    return best_fit(displaced, length, capacity, given + kept)
+    return refill(displaced, given + kept, length, capacity)
 
 
 def mutate(bins, length, capacity, rng):
-    """Empty the emptiest bin and a few others, and best-fit their pieces in random order of length ties."""
+    """Empty the emptiest bin and a few others, and put their pieces back."""
     order = sorted(range(len(bins)), key=lambda k: sum(length[i] for i in bins[k]))
     gone = {order[0], *(rng.randrange(len(bins)) for _ in range(min(3, len(bins))))}
-    return best_fit([i for k in gone for i in bins[k]], length, capacity, [b for k, b in enumerate(bins) if k not in gone])
+    return refill([i for k in gone for i in bins[k]], [b for k, b in enumerate(bins) if k not in gone], length, capacity)
 
 
 def evolve(length: list[int], starts, capacity: int, generations: int, population: int, rng) -> list[list[int]]:
@@ -258,7 +306,7 @@ def pack(
     shard_pieces: int = 8192,
     islands: int = 2,
     rounds: int = 2,
-    generations: int = 12,
+    generations: int = 40,
     population: int = 6,
     seed: int = 0,
 ) -> DataFrame:
@@ -266,21 +314,26 @@ def pack(
     open_ = pieces.where(F.col("length") < capacity).select("uid", "length")
     shards = max(1, -(-open_.count() // shard_pieces))
     shard = F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard")
-    state = open_.select(
-        shard, F.explode(F.array(*(F.lit(k) for k in range(islands)))).alias("island"), "uid", "length", F.lit(-1).alias("bin"), F.lit(0).alias("origin")
-    )
-    for r in range(rounds):
-        solved = state.groupBy("shard", "island").applyInPandas(_island(capacity, generations, population, seed + r), SOLUTION)
-        solved = store(solved, "islands")
-        moves = F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
-        state = solved.select(
-            "shard", F.explode(F.array_distinct(moves)).alias("to"), "uid", "length", "bin", F.col("island").alias("origin")
-        ).withColumnRenamed("to", "island")
-    elite = solved.groupBy("shard", "island").agg(F.max("bin").alias("bins"))
-    elite = elite.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("e")).select("shard", F.col("e.island").alias("island"))
-    packed = solved.join(elite, ["shard", "island"], "left_semi").select(
-        "uid", (F.col("shard") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset"
-    )
+    # one best-fit packing of each shard; a shard that meets its bound is done
+    first = open_.select(shard, F.lit(0).alias("island"), "uid", "length", F.lit(-1).alias("bin"), F.lit(0).alias("origin"))
+    solved = store(first.groupBy("shard", "island").applyInPandas(_island(capacity, 0, 1, seed), SOLUTION), "first_fit")
+    missed = solved.groupBy("shard").agg((F.max("bin") + 1).alias("bins"), F.sum("length").alias("tokens"))
+    missed = store(missed.where(F.col("bins") > F.ceil(F.col("tokens") / capacity)).select("shard"), "missed")
+    packed = solved.join(missed, "shard", "left_anti").select("shard", "uid", "bin", "offset")
+    if not missed.isEmpty():
+        solved = solved.join(missed, "shard", "left_semi")
+        moves = F.array(*(F.lit(k) for k in range(islands)))
+        for r in range(rounds):
+            state = solved.select(
+                "shard", F.explode(F.array_distinct(moves)).alias("to"), "uid", "length", "bin", F.col("island").alias("origin")
+            ).withColumnRenamed("to", "island")
+            evolved = state.groupBy("shard", "island").applyInPandas(_island(capacity, generations, population, seed + r), SOLUTION)
+            solved = store(evolved, "islands")
+            moves = F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
+        elite = solved.groupBy("shard", "island").agg(F.max("bin").alias("bins"))
+        elite = elite.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("e")).select("shard", F.col("e.island").alias("island"))
+        packed = packed.unionByName(solved.join(elite, ["shard", "island"], "left_semi").select("shard", "uid", "bin", "offset"))
+    packed = packed.select("uid", (F.col("shard") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
     full = pieces.where(F.col("length") >= capacity).select(
         "uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

@@ -147,6 +147,20 @@ def test_op9(frame, docs):
     assert out.count() == len(docs)
 
 
+def test_op9_query_columns(spark, docs, tmp_dir):
+    """The registered query, all base columns, null ids and repeated rows too."""
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    out = secret_scan.op9_secret_scan(spark, tmp_dir)
+    got = rows(out, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    assert got == sorted(brute.op9(docs), key=repr)
+    assert any(g[1] != g[3] for g in got)  # counts of kinds differ
+    for r in out.collect():
+        spans = r["spans"].split(",") if r["spans"] else []
+        base = [s for s in spans if s.split(":")[0] in secret_scan.BASE]
+        assert brute.sha(",".join(base)) == r["base_sha256"]
+        assert [sum(s.startswith(k + ":") for s in base) for k in secret_scan.BASE] == [r["n_assign"], r["n_access"], r["n_hex"]]
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_dir):
     df = spark.createDataFrame([(1, "token: abcdef99"), (2, "clean"), (3, "clean")], "doc_id long, text string")
     path = f"{tmp_dir}/ledger"
@@ -187,16 +201,40 @@ def test_op8(frame, docs):
     assert len(bins) <= -(-sum(w[3] for w in want) // 4096) * 1.1 + 4
 
 
-def test_genetic_packing_beats_its_start():
+def packed(bins, length, capacity=4096):
+    assert sorted(i for b in bins for i in b) == list(range(len(length)))
+    assert all(sum(length[i] for i in b) <= capacity for b in bins)
+    return len(bins)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_genetic_packing_beats_best_fit(seed):
+    import random
+
+    rng = random.Random(seed)
+    length = [rng.randrange(700, 2300) for _ in range(1500)]
+    first = packed(packing.best_fit(list(range(1500)), length, 4096, []), length)
+    assert first > -(-sum(length) // 4096)
+    assert packed(packing.evolve(length, [], 4096, 40, 6, random.Random(1)), length) < first
+
+
+def test_islands_beat_best_fit_where_it_misses_the_bound(spark):
+    """Two shards meet their bound at once, one is evolved by islands."""
     import random
 
-    rng = random.Random(5)
-    length = [rng.randrange(900, 2100) for _ in range(300)]
-    first = packing.best_fit(list(range(300)), length, 4096, [])
-    best = packing.evolve(length, [], 4096, 30, 6, random.Random(1))
-    assert sorted(i for b in best for i in b) == list(range(300))
-    assert all(sum(length[i] for i in b) <= 4096 for b in best)
-    assert packing.fitness(best, length, 4096) >= packing.fitness(first, length, 4096)
+    rng = random.Random(4)
+    hard = [rng.randrange(700, 2300) for _ in range(900)]
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(hard)], "uid long, length long")
+    first = len(packing.best_fit(list(range(900)), hard, 4096, []))
+    for islands in (1, 2):
+        out = packing.pack(pieces, islands=islands).collect()
+        bins = defaultdict(list)
+        for r in out:
+            bins[r["sequence_id"]].append(r["uid"])
+        assert packed(list(bins.values()), hard) < first
+    easy = spark.createDataFrame([(k, 1024) for k in range(64)], "uid long, length long")
+    out = packing.pack(easy, shard_pieces=32).collect()
+    assert len(out) == 64 and len({r["sequence_id"] for r in out}) <= 18
 
 
 def test_empty_tables(spark, frame):
