@@ -6,6 +6,8 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +36,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Folders stored within ``scratch``; None outside of it.
+_stored: list[str] | None = None
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, so a
     lost executor costs a re-read, and the plan after it knows the real size."""
     path = new_path(df.sparkSession, name)
+    if _stored is not None:
+        _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Lists the folders that ``store`` writes meanwhile, for ``remove`` when what
+    was computed from them has been written elsewhere."""
+    global _stored
+    outer, _stored = _stored, []
+    try:
+        yield _stored
+    finally:
+        if outer is not None:
+            outer += _stored
+        _stored = outer
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of stored tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def once_per_worker(key: tuple, make):
     """``make()``, kept for all tasks of a Python worker.  The keeper is a module of the
     worker process, as functions travel by value and do not share their globals."""

@@ -98,3 +98,17 @@ def test_one_row_of_each_group_stays(spark):
     near = docs.union(docs.selectExpr("doc_id", "concat(upper(text), ' ')")).where("text is not null")
     got = left("simhash_dedup", near)
     assert sorted(((i, t.lower().strip()) for i, t in got), key=repr) == sorted([(1, a), (7, c), (7, b), (None, d), (None, "")], key=repr)
+
+
+def test_a_stage_deletes_what_the_one_before_stored(spark):
+    import os
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d e f")], "doc_id long, text string")
+    app = spark.sparkContext.applicationId
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["exact_dedup"](spark, docs, SF)
+    assert kept.count() == 2
+    first = list(corpus_pipeline._left[app])
+    assert first and all(os.path.isdir(p.removeprefix("file://")) for p in first)
+    stages["simhash_dedup"](spark, docs, SF)
+    assert not any(os.path.isdir(p.removeprefix("file://")) for p in first)
