@@ -42,6 +42,7 @@ WORD_END = "</w>"
 CACHE_WORDS = 200_000  # in each of a task's two cache generations
 CACHE_CHARS = 48
 REFILL_PASSES = 4
+MOST_TASKS = 10_000
 BATCH_WORDS = 20_000  # encoded at a time, which bounds the tokenizer's memory
 
 
@@ -252,24 +253,26 @@ def mutate(bins, length, capacity, rng):
 
 def evolve(length: list[int], starts, capacity: int, generations: int, population: int, rng) -> list[list[int]]:
     bound = -(-sum(length) // capacity)
-    score = lambda x: fitness(x, length, capacity)
-    pool = list(starts) or [best_fit(list(range(len(length))), length, capacity, [])]
-    best = max(pool, key=score)
+    rated = lambda x: (fitness(x, length, capacity), x)
+    first = lambda r: r[0]
+    pool = [rated(x) for x in starts or [best_fit(list(range(len(length))), length, capacity, [])]]
+    best = max(pool, key=first)[1]
     if len(best) <= bound:
         return best
     while len(pool) < population:
-        pool.append(mutate(rng.choice(pool), length, capacity, rng))
+        pool.append(rated(mutate(rng.choice(pool)[1], length, capacity, rng)))
     for _ in range(generations):
-        a, b = (max(rng.sample(pool, 2), key=score) for _ in range(2))
+        (_, a), (_, b) = (max(rng.sample(pool, 2), key=first) for _ in range(2))
         child = crossover(a, b, length, capacity, rng)
         if rng.random() < 0.3:
             child = mutate(child, length, capacity, rng)
-        worst = min(range(len(pool)), key=lambda k: score(pool[k]))
-        if score(child) > score(pool[worst]):
+        child = rated(child)
+        worst = min(range(len(pool)), key=lambda k: pool[k][0])
+        if child[0] > pool[worst][0]:
             pool[worst] = child
-        if -score(child)[0] <= bound:
+        if len(child[1]) <= bound:
             break
-    return max(pool, key=score)
+    return max(pool, key=first)[1]
 
 
 def _island(capacity: int, generations: int, population: int, seed: int):
@@ -300,6 +303,11 @@ def _island(capacity: int, generations: int, population: int, seed: int):
 SOLUTION = "shard long, island int, uid long, length long, bin int, offset long"
 
 
+def _islands(state: DataFrame, groups: int, run) -> DataFrame:
+    """Each island in a task of its own up to MOST_TASKS: the rows are few, the work is not."""
+    return state.repartition(min(groups, MOST_TASKS), "shard", "island").groupBy("shard", "island").applyInPandas(run, SOLUTION)
+
+
 def pack(
     pieces: DataFrame,
     capacity: int = CAPACITY,
@@ -316,18 +324,18 @@ def pack(
     shard = F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard")
     # one best-fit packing of each shard; a shard that meets its bound is done
     first = open_.select(shard, F.lit(0).alias("island"), "uid", "length", F.lit(-1).alias("bin"), F.lit(0).alias("origin"))
-    solved = store(first.groupBy("shard", "island").applyInPandas(_island(capacity, 0, 1, seed), SOLUTION), "first_fit")
+    solved = store(_islands(first, shards, _island(capacity, 0, 1, seed)), "first_fit")
     missed = solved.groupBy("shard").agg((F.max("bin") + 1).alias("bins"), F.sum("length").alias("tokens"))
     missed = store(missed.where(F.col("bins") > F.ceil(F.col("tokens") / capacity)).select("shard"), "missed")
     packed = solved.join(missed, "shard", "left_anti").select("shard", "uid", "bin", "offset")
-    if not missed.isEmpty():
+    if hard := missed.count():
         solved = solved.join(missed, "shard", "left_semi")
         moves = F.array(*(F.lit(k) for k in range(islands)))
         for r in range(rounds):
             state = solved.select(
                 "shard", F.explode(F.array_distinct(moves)).alias("to"), "uid", "length", "bin", F.col("island").alias("origin")
             ).withColumnRenamed("to", "island")
-            evolved = state.groupBy("shard", "island").applyInPandas(_island(capacity, generations, population, seed + r), SOLUTION)
+            evolved = _islands(state, hard * islands, _island(capacity, generations, population, seed + r))
             solved = store(evolved, "islands")
             moves = F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
         elite = solved.groupBy("shard", "island").agg(F.max("bin").alias("bins"))
