@@ -21,6 +21,10 @@ def main(argv: list[str] | None = None) -> int:
     b = sub.add_parser("build", help="landed feed pages -> stored EQ table")
     b.add_argument("landing")
     b.add_argument("table")
+    b.add_argument("--start", help="first day of the load, YYYY-MM-DD (with --end; default: all)")
+    b.add_argument("--end", help="day after its last")
+    b.add_argument("--min-mag", type=float, help="least magnitude of the load (default: all)")
+    b.add_argument("--quarantine", help="folder for pages and features that cannot be parsed (default: stop)")
     b.add_argument("--features", action="store_true", help="one GeoJSON feature per line instead of page documents")
     q = sub.add_parser("query", help="run one named question on a stored EQ table")
     q.add_argument("table")
@@ -36,17 +40,24 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{nq.key:6s} {nq.label}")
         return 0
 
+    from quakes.operators.serial import serial_numbers
     from quakes.schema import EQ
     from quakes.session import build_session
 
     spark = build_session()
     if args.cmd == "build":
         from quakes.plans.pipeline import build_eq
-        from quakes.sources import feed
-        from quakes.sources.table import save_table_counted
+        from quakes.sources import feed, pages
+        from quakes.sources.table import materialize, save_table_counted
 
-        feats = feed.read_features(spark, args.landing) if args.features else feed.read_pages(spark, args.landing)
-        _, n = save_table_counted(build_eq(feed.flatten(feats), args.landing), args.table)
+        if args.features and args.quarantine:
+            ap.error("--quarantine is for page documents")
+        feats = feed.read_features(spark, args.landing) if args.features else pages.read_pages(spark, args.landing, args.quarantine)
+        raw = feed.flatten(feats)
+        if args.start or args.end or args.min_mag is not None:
+            raw = feed.source_filter(raw, args.start or "0001-01-01", args.end or "9999-12-31", -99.0 if args.min_mag is None else args.min_mag)
+        # stored once: medians, lookup and table each read it
+        _, n = save_table_counted(build_eq(materialize(raw, args.landing, "raw"), args.landing), args.table)
         print(f"loaded {n} rows into {args.table}")
         return 0
 
@@ -62,9 +73,11 @@ def main(argv: list[str] | None = None) -> int:
     else:
         result = nq.fn(eq)
     print(nq.label)
-    if nq.bounded:
-        # R2 on a bounded result: number rows in result order.
-        result = catalog.numbered(result.withColumn("_pos", F.monotonically_increasing_id()), "_pos").drop("_pos")
+    # R2: number rows in result order; results of any size in slices
+    number = catalog.numbered if nq.bounded else serial_numbers
+    result = number(result.withColumn("_pos", F.monotonically_increasing_id()), "_pos").drop("_pos")
+    if not nq.bounded:
+        result = result.orderBy("S_No")
     result.show(args.rows, truncate=False)
     return 0
 

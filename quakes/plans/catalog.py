@@ -19,13 +19,9 @@ from pyspark.sql import functions as F
 
 from quakes.functions.classes import alert_loss_weight, casualty_weight, loss_weight
 from quakes.functions.rules import ALERT_MISSING
+from quakes.operators.exact import exact_avg
 from quakes.operators.pairs import consecutive_pairs
 
-# Aggregates compared across engines are ordered on this many decimals, so
-# values equal up to float summation order rank as ties (then the tie column).
-SORT_DIGITS = 9
-
-
 def _cnt(alias: str) -> Column:
     return F.count(F.lit(1)).alias(alias)
 
@@ -35,10 +31,6 @@ def _ieq(c: Column, text: str) -> Column:
     return F.lower(c) == F.lit(text.lower())
 
 
-def _key(c: str) -> Column:
-    return F.round(F.col(c), SORT_DIGITS)
-
-
 def q1_strongest(eq: DataFrame, n: int = 11) -> DataFrame:
     return eq.select("id", "mag", "updated", "country", "type").orderBy(F.desc_nulls_last("mag"), F.asc("id")).limit(n)
 
@@ -160,8 +152,8 @@ def q20_alerts(eq: DataFrame) -> DataFrame:
 def q21_top_avg_mag(eq: DataFrame, n: int = 5) -> DataFrame:
     return (
         eq.groupBy("country")
-        .agg(F.avg("mag").alias("avg_mag"))
-        .orderBy(F.desc_nulls_last(_key("avg_mag")), F.asc_nulls_first("country"))
+        .agg(exact_avg("mag").alias("avg_mag"))
+        .orderBy(F.desc_nulls_last("avg_mag"), F.asc_nulls_first("country"))
         .limit(n)
     )
 
@@ -199,9 +191,9 @@ def q23_yoy_growth(eq: DataFrame) -> DataFrame:
 def q24_active_regions(eq: DataFrame, n: int = 3) -> DataFrame:
     return (
         eq.groupBy("country")
-        .agg(_cnt("count"), F.avg("mag").alias("avg_mag"))
+        .agg(_cnt("count"), exact_avg("mag").alias("avg_mag"))
         .withColumn("seismic_activity", F.col("count") * F.col("avg_mag"))
-        .orderBy(F.desc_nulls_last(_key("seismic_activity")), F.asc_nulls_first("country"))
+        .orderBy(F.desc_nulls_last("seismic_activity"), F.asc_nulls_first("country"))
         .limit(n)
     )
 
@@ -307,7 +299,8 @@ def numbered(result: DataFrame, *order: Column | str, name: str = "S_No") -> Dat
     """R2: 1-based serial number in result order, as the first column.
 
     Use on bounded results (top-k, per-group aggregates): the window has no
-    partition key, so it runs in one task.
+    partition key, so it runs in one task.  ``operators.serial.serial_numbers``
+    numbers results of any size.
     """
     w = Window.orderBy(*order)
     return result.select(F.row_number().over(w).alias(name), *result.columns)

@@ -24,7 +24,6 @@ from quakes.functions.text import ACCENTED, LAST_PART_PATTERN, STRIP_PATTERN, UN
 from quakes.sources.fixture import LITERAL_PLACES, MAGTYPES, NETS, TOWN_REGIONS, TYPES
 
 DIGITS = 6
-SORT_DIGITS = 9
 
 
 def lit(v) -> str:
@@ -185,9 +184,8 @@ def r(expr: str) -> str:
     return f"round({expr}, {DIGITS})"
 
 
-def k(expr: str) -> str:
-    return f"round({expr}, {SORT_DIGITS})"
-
+# Of exact sums, so that ranks do not depend on the order of rows.
+EXACT_AVG_MAG = "(CAST(sum(CAST(mag AS DECIMAL(28, 9))) AS DOUBLE) / nullif(count(mag), 0))"
 
 _HAVERSINE = (
     "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(prev_lat)) / 2), 2) + "
@@ -224,16 +222,16 @@ QUERY_SQL: dict[str, str] = {
     "q18": f"SELECT {r('nst')} AS nst, count(*) AS total_events FROM eq WHERE nst > 10 GROUP BY nst",
     "q19": "SELECT year, count(*) AS tsunami_count FROM eq WHERE tsunami = 1 GROUP BY year",
     "q20": "SELECT alert, count(*) AS total_no_of_earthquakes FROM eq GROUP BY alert",
-    "q21": f"SELECT country, {r('avg_mag')} AS avg_mag FROM (SELECT country, avg(mag) AS avg_mag FROM eq GROUP BY country) "
-    f"ORDER BY {k('avg_mag')} DESC NULLS LAST, country ASC NULLS FIRST LIMIT 5",
+    "q21": f"SELECT country, {r('avg_mag')} AS avg_mag FROM (SELECT country, {EXACT_AVG_MAG} AS avg_mag FROM eq GROUP BY country) "
+    "ORDER BY avg_mag DESC NULLS LAST, country ASC NULLS FIRST LIMIT 5",
     "q22": "SELECT country, month, year FROM eq WHERE EQ_type IN ('Shallow', 'Deep') GROUP BY month, year, country "
     "HAVING count(DISTINCT EQ_type) = 2",
     "q23": f"""SELECT year, count, prev_year_count,
   {r('CAST(count - prev_year_count AS DOUBLE) / nullif(prev_year_count, 0) * 100')} AS growth_rate
 FROM (SELECT year, count(*) AS count, lag(count(*)) OVER (ORDER BY year) AS prev_year_count FROM eq GROUP BY year)""",
     "q24": f"""SELECT country, count, {r('avg_mag')} AS avg_mag, {r('seismic_activity')} AS seismic_activity FROM (
-  SELECT country, count(*) AS count, avg(mag) AS avg_mag, count(*) * avg(mag) AS seismic_activity FROM eq GROUP BY country)
-ORDER BY {k('seismic_activity')} DESC NULLS LAST, country ASC NULLS FIRST LIMIT 3""",
+  SELECT country, count(*) AS count, {EXACT_AVG_MAG} AS avg_mag, count(*) * {EXACT_AVG_MAG} AS seismic_activity FROM eq GROUP BY country)
+ORDER BY seismic_activity DESC NULLS LAST, country ASC NULLS FIRST LIMIT 3""",
     "q25": f"SELECT country, {r('avg(depth_km)')} AS avg_depth, {r('avg(latitude)')} AS avg_latitude FROM eq "
     "WHERE latitude BETWEEN -5 AND 5 GROUP BY country",
     "q26": f"""SELECT country, shallow_count, deep_count, {r('ratio')} AS ratio FROM (
@@ -340,6 +338,19 @@ FROM ({_long_union(_PROFILE, 'clean0')}) GROUP BY col_name""",
         "d_continent_lookup": "SELECT country, continent FROM lookup",
         "r2_numbered_q12": f"""SELECT row_number() OVER (ORDER BY estimated_loss DESC, continent) AS S_No, continent, estimated_loss
 FROM (SELECT continent, CAST(sum({_weights('EQ_intensity', LOSS_WEIGHTS)}) AS BIGINT) AS estimated_loss FROM eq GROUP BY continent)""",
+        "r2_numbered_q3": f"SELECT row_number() OVER (ORDER BY mag DESC, id) AS S_No, * FROM ({QUERY_SQL['q3']})",
+        "r2_numbered_q16": "SELECT row_number() OVER (ORDER BY total_no_of_earthquakes DESC, types ASC NULLS FIRST) AS S_No, * "
+        f"FROM ({QUERY_SQL['q16']})",
+        "r2_numbered_events": "SELECT row_number() OVER (ORDER BY time ASC NULLS FIRST, id) AS S_No, id, time FROM eq",
+        "s1_pages_roundtrip": _eq_select(_raw_cols(ms_times=True), "quake"),
+        "s8_managed_table": "SELECT year, count(*) AS events, (SELECT count(*) FROM eq) AS loaded_rows FROM eq GROUP BY year",
+        "s2_incremental_load": f"SELECT id, CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month, "
+        f"{r('CASE WHEN year(time) = 2021 AND month(time) <= 6 THEN mag - 0.5 ELSE mag END')} AS mag FROM quake "
+        "WHERE time >= TIMESTAMP '2020-01-01' AND time < TIMESTAMP '2023-01-01' "
+        "AND CASE WHEN year(time) = 2021 AND month(time) <= 6 THEN mag - 0.5 ELSE mag END >= 4",
+        "g5_count_distinct": "SELECT month, year, country, count(DISTINCT EQ_type) AS n_types FROM eq GROUP BY month, year, country",
+        "p8_clustered_scan": "SELECT id, country, year FROM eq WHERE depth_km > 300 AND mag > 5 "
+        "UNION ALL SELECT id, country, year FROM eq WHERE latitude BETWEEN -5 AND 5 AND depth_km < 70",
     }
 
 

@@ -26,7 +26,7 @@ from quakes.operators.median import exact_medians
 from quakes.schema import EQ, EQ_COLUMNS
 from quakes.sources.fixture import quake_raw
 from quakes.sources.table import materialize, save_table
-from quakes.session import apply_conf, path_exists, table_dir
+from quakes.session import apply_conf, files_state, path_exists, table_dir
 
 
 def enrich(df: DataFrame, *cache_key: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -70,20 +70,21 @@ def build_eq(raw: DataFrame, *cache_key: str, medians: dict | None = None) -> Da
     return map_country(add_classes(filled), lookup).select(*EQ_COLUMNS)
 
 
-_TABLES: dict[tuple[str, str], str] = {}
+_TABLES: dict[tuple[str, str, str], str] = {}
 
 
 def eq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored EQ table for the quake view over ``{sf_dir}/events``.
 
-    Built once per application and data folder, written under the shared
+    Built once per application, data folder and state of its files, written under the shared
     checkpoint folder, then every query reads it (pruned, pushed down).
     """
     apply_conf(spark)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    folder = sf_dir if "://" in sf_dir else os.path.abspath(sf_dir)
+    key = (spark.sparkContext.applicationId, folder, files_state(spark, f"{sf_dir}/events.parquet"))
     path = _TABLES.get(key)
     if path is None or not path_exists(spark, path):
-        path = table_dir(spark, key[1], "eq_data")
+        path = table_dir(spark, folder, key[2], "eq_data")
         save_table(build_eq(quake_raw(spark, sf_dir), key[1]), path)
         _TABLES[key] = path
     return spark.read.schema(EQ).parquet(path).select(*EQ_COLUMNS)

@@ -18,13 +18,16 @@ from pyspark.sql import types as T
 
 from quakes.operators import profile
 from quakes.operators.clean import clean, clean_unfilled, lower_alert
+from quakes.operators.cluster import write_clustered
+from quakes.operators.distinct import distinct_counts
 from quakes.operators.enrich import continent_lookup
 from quakes.operators.median import exact_medians
+from quakes.operators.serial import serial_numbers
 from quakes.plans import catalog, oracle
 from quakes.plans.pipeline import eq_table
 from quakes.schema import EQ, RAW_COLUMNS
 from quakes.session import table_dir
-from quakes.sources import feed
+from quakes.sources import feed, incremental, pages, versions
 from quakes.sources.fixture import quake_raw
 from quakes.sources.table import read_csv, write_csv
 
@@ -107,6 +110,54 @@ def _numbered_q12(spark, sf_dir):
     return catalog.numbered(q12, F.desc("estimated_loss"), F.asc("continent"))
 
 
+def _numbered_q3(spark, sf_dir):
+    return serial_numbers(catalog.q3_shallow_strong(eq_table(spark, sf_dir)), F.desc("mag"), F.asc("id"))
+
+
+def _numbered_q16(spark, sf_dir):
+    q16 = catalog.q16_types(eq_table(spark, sf_dir))
+    return serial_numbers(q16, F.desc("total_no_of_earthquakes"), F.asc_nulls_first("types"))
+
+
+def _numbered_events(spark, sf_dir):
+    """A result as large as the table."""
+    return serial_numbers(eq_table(spark, sf_dir).select("id", "time"), F.asc_nulls_first("time"), F.asc("id"))
+
+
+def _pages_roundtrip(spark, sf_dir):
+    """Month pages of the quake view, each read in ranges."""
+    path = table_dir(spark, sf_dir, uuid.uuid4().hex, "page_landing")
+    pages.write_pages(feed.to_features(quake_raw(spark, sf_dir)), path)
+    return feed.flatten(pages.read_pages(spark, path))
+
+
+def _managed_table(spark, sf_dir):
+    """A named table loaded in part, then replaced by the whole, read by name."""
+    eq = eq_table(spark, sf_dir)
+    schema = f"quakes_{uuid.uuid4().hex[:8]}"
+    where = table_dir(spark, sf_dir, schema, "schema")
+    versions.replace_table(eq.where("mag > 5"), schema, "eq_data", location=where)
+    table, loaded = versions.replace_table(eq, schema, "eq_data", location=where)
+    return table.groupBy("year").agg(F.count("*").alias("events")).withColumn("loaded_rows", F.lit(loaded).cast("long"))
+
+
+def _incremental_load(spark, sf_dir):
+    """Three years loaded, then half a year again after a correction of its magnitudes."""
+    raw = quake_raw(spark, sf_dir)
+    path = table_dir(spark, sf_dir, uuid.uuid4().hex, "month_loads")
+    incremental.load_windows(raw, path, "2020-01-01", "2023-01-01", 4.0)
+    corrected = raw.withColumn("mag", F.col("mag") - 0.5)
+    return incremental.load_windows(corrected, path, "2021-01-01", "2021-07-01", 4.0).select("id", "year", "month", "mag")
+
+
+def _clustered_scan(spark, sf_dir):
+    eq = eq_table(spark, sf_dir)
+    path = table_dir(spark, sf_dir, uuid.uuid4().hex, "clustered")
+    near = write_clustered(eq, path, ["depth_km", "mag", "latitude"])
+    deep = near.where("depth_km > 300 AND mag > 5")
+    return deep.unionByName(near.where("latitude BETWEEN -5 AND 5 AND depth_km < 70")).select("id", "country", "year")
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eq_table": _eq,
     "s7_csv_roundtrip": _csv_roundtrip,
@@ -122,6 +173,14 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c13_describe": lambda spark, d: profile.describe(clean_unfilled(quake_raw(spark, d))),
     "d_continent_lookup": _lookup,
     "r2_numbered_q12": _numbered_q12,
+    "r2_numbered_q3": _numbered_q3,
+    "r2_numbered_q16": _numbered_q16,
+    "r2_numbered_events": _numbered_events,
+    "s1_pages_roundtrip": _pages_roundtrip,
+    "s8_managed_table": _managed_table,
+    "s2_incremental_load": _incremental_load,
+    "g5_count_distinct": lambda spark, d: distinct_counts(eq_table(spark, d), ["month", "year", "country"], "EQ_type", "n_types"),
+    "p8_clustered_scan": _clustered_scan,
 }
 
 

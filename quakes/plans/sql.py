@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quakes.functions.rules import ALERT_LOSS_WEIGHTS, ALERT_MISSING, CASUALTY_WEIGHTS, LOSS_WEIGHTS
 
 VIEW = "eq_data"
+# Of exact sums, so that ranks do not depend on the order of rows.
+EXACT_AVG_MAG = "try_divide(CAST(sum(CAST(mag AS DECIMAL(28,9))) AS DOUBLE), CAST(count(mag) AS DOUBLE))"
 
 
 def _case(col: str, weights: dict[str, int]) -> str:
@@ -56,8 +58,8 @@ SQL: dict[str, str] = {
     "q19": f"SELECT year, count(*) AS tsunami_count FROM {VIEW} WHERE tsunami = 1 GROUP BY year ORDER BY tsunami_count DESC",
     "q20": f"SELECT alert, count(*) AS total_no_of_earthquakes FROM {VIEW} GROUP BY alert "
     "ORDER BY total_no_of_earthquakes DESC",
-    "q21": f"SELECT country, avg(mag) AS avg_mag FROM {VIEW} GROUP BY country "
-    "ORDER BY round(avg_mag, 9) DESC NULLS LAST, country ASC NULLS FIRST LIMIT 5",
+    "q21": f"SELECT country, {EXACT_AVG_MAG} AS avg_mag FROM {VIEW} GROUP BY country "
+    "ORDER BY avg_mag DESC NULLS LAST, country ASC NULLS FIRST LIMIT 5",
     "q22": f"SELECT country, month, year FROM {VIEW} WHERE EQ_type IN ('Shallow', 'Deep') "
     "GROUP BY month, year, country HAVING bool_or(EQ_type = 'Shallow') AND bool_or(EQ_type = 'Deep') ORDER BY year",
     "q23": f"""SELECT year, count, prev_year_count,
@@ -65,8 +67,8 @@ SQL: dict[str, str] = {
 FROM (SELECT year, count(*) AS count, lag(count(*)) OVER (ORDER BY year) AS prev_year_count FROM {VIEW} GROUP BY year)
 ORDER BY year""",
     "q24": f"""SELECT country, count, avg_mag, count * avg_mag AS seismic_activity
-FROM (SELECT country, count(*) AS count, avg(mag) AS avg_mag FROM {VIEW} GROUP BY country)
-ORDER BY round(count * avg_mag, 9) DESC NULLS LAST, country ASC NULLS FIRST LIMIT 3""",
+FROM (SELECT country, count(*) AS count, {EXACT_AVG_MAG} AS avg_mag FROM {VIEW} GROUP BY country)
+ORDER BY seismic_activity DESC NULLS LAST, country ASC NULLS FIRST LIMIT 3""",
     "q25": f"SELECT country, avg(depth_km) AS avg_depth, avg(latitude) AS avg_latitude FROM {VIEW} "
     "WHERE latitude BETWEEN -5 AND 5 GROUP BY country ORDER BY avg_latitude",
     "q26": f"""SELECT country, shallow_count, deep_count, try_divide(CAST(shallow_count AS DOUBLE), deep_count) AS ratio

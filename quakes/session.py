@@ -93,3 +93,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def files_state(spark: SparkSession, path: str) -> str:
+    """Changes when a file under ``path`` does (by names, sizes and times of change)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return hashlib.sha1(repr(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found)).encode()).hexdigest()

@@ -25,20 +25,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema=EQ) -> DataFrame:
-    """CSV scan with a fixed schema (never inferred).
+    """CSV scan with a fixed schema (never inferred), files read in byte ranges.
 
-    Quoted line breaks belong to their row, so a file is read by one task; the
-    sink's files are as small as its partitions.  An empty string comes back
-    as null.
+    Quoted line breaks belong to their row and empty strings stay empty
+    (``csv_ranges.read_csv_ranges``).
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("timestampNTZFormat", TS_FORMAT)
-        .options(multiLine=True, **CSV_TEXT)
-        .csv(path)
-    )
+    from quakes.sources.csv_ranges import read_csv_ranges
+
+    return read_csv_ranges(spark, path, schema)
 
 
 def save_table(
@@ -56,16 +50,18 @@ def save_table(
     ``rebalance=True`` adds AQE's rebalance (one shuffle of the table) to even
     out file sizes when tasks hold many years in small pieces.
     With a path the table is Parquet files there, registered as a temp view;
-    without one, a managed table in the session catalog.
+    without one, a named table (``schema.table``, or of the current schema).
+    Either way the earlier table stays until the new one is whole
+    (``versions.replace_folder``, ``versions.replace_table``).
     """
+    from quakes.sources.versions import replace_folder, replace_table
+
     spark = df.sparkSession
     src = df.hint("rebalance", *partition_by) if rebalance else df
-    w = src.write.mode("overwrite").partitionBy(*partition_by)
     if path is None:
-        spark.sql("CREATE SCHEMA IF NOT EXISTS default")
-        w.format("parquet").saveAsTable(name)
-        return spark.table(name)
-    w.parquet(path)
+        schema, _, short = name.rpartition(".")
+        return replace_table(src, schema or spark.catalog.currentDatabase(), short, tuple(partition_by))[0]
+    replace_folder(src, path, tuple(partition_by))
     out = spark.read.parquet(path)
     out.createOrReplaceTempView(name)
     return out
