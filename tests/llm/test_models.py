@@ -68,7 +68,7 @@ def test_probabilities_sum_to_one_and_scores_follow_them(spark):
 def test_seating_follows_the_restaurant():
     """Mean number of tables against customers seated one by one."""
     rng, weight, d = np.random.default_rng(3), 1.7, 0.6
-    fast = pitman_yor.seat(np.full(4000, 40), np.full(4000, weight), d, rng)
+    fast = pitman_yor.seat(np.full(4000, 40), np.full(4000, weight), d, np.arange(4000, dtype=np.uint64) * np.uint64(977))
     plain = []
     for _ in range(4000):
         t = 1
@@ -76,7 +76,29 @@ def test_seating_follows_the_restaurant():
             t += rng.random() < weight / (weight + i - d * t)
         plain.append(t)
     assert fast.mean() == pytest.approx(np.mean(plain), rel=0.03) and fast.std() == pytest.approx(np.std(plain), rel=0.08)
-    assert list(pitman_yor.seat(np.array([0, 1, 2]), np.array([1e-12, 1.0, 1e12]), d, rng)) == [0, 1, 2]
+    assert list(pitman_yor.seat(np.array([0, 1, 2]), np.array([1e-12, 1.0, 1e12]), d, np.arange(3, dtype=np.uint64))) == [0, 1, 2]
+
+
+def test_a_dish_is_seated_alike_among_any_others():
+    rng = np.random.default_rng(4)
+    c, a, keys = rng.integers(1, 60, 500), rng.random(500) * 3, rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    whole = pitman_yor.seat(c, a, 0.75, keys)
+    order = rng.permutation(500)
+    parts = np.concatenate([pitman_yor.seat(c[k], a[k], 0.75, keys[k]) for k in np.array_split(order, 7)])
+    assert (parts == whole[order]).all() and len(set(whole[c > 20])) > 3
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = []
+    for n in (3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got.append({r["doc_id"]: r["score"] for r in pitman_yor.lm_scores(docs.repartition(n)).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert got[0].keys() == got[1].keys()
+    assert all(got[1][k] == pytest.approx(v, rel=1e-9) for k, v in got[0].items())
 
 
 def test_op2_of_nothing(spark):
