@@ -25,9 +25,10 @@ def code_table(df: DataFrame, column: str) -> DataFrame:
 
 def distinct_state(df: DataFrame, groups: list[str], column: str, codes: DataFrame) -> DataFrame:
     """``groups, word, bits`` of the values met; nulls are no value."""
-    coded = lookup_join(df.select(*groups, F.col(column).alias("value")).where("value IS NOT NULL"), codes, "value")
-    bit = F.expr(f"shiftleft(1L, CAST(code % {WORD} AS INT))")
-    return coded.groupBy(*groups, F.expr(f"code DIV {WORD}").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    rows = df.select(*groups, F.col(column).alias("_value")).where("_value IS NOT NULL")
+    coded = lookup_join(rows, codes.withColumnsRenamed({"value": "_coded", "code": "_code"}), "_value", "_coded")
+    bit = F.expr(f"shiftleft(1L, CAST(_code % {WORD} AS INT))")
+    return coded.groupBy(*groups, F.expr(f"_code DIV {WORD}").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 def merge_states(*states: DataFrame) -> DataFrame:

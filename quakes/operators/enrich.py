@@ -79,13 +79,28 @@ def gazetteer_continent(countries: DataFrame) -> DataFrame:
     )
 
 
+def substrings(text: F.Column, lengths: list[int]) -> F.Column:
+    """The distinct substrings of these lengths."""
+    def of(n: int) -> F.Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*(of(n) for n in lengths)))
+
+
 def keyword_continent(countries: DataFrame) -> DataFrame:
-    """Adds kw_continent to a table with one row per distinct country."""
+    """Adds kw_continent to a table with one row per distinct country.
+
+    A keyword is contained in a text when it is one of its substrings, so each text's
+    substrings of the keywords' lengths meet the keywords by equality (a hash join),
+    however many texts there are."""
     spark = countries.sparkSession
     k = F.broadcast(keyword_dim(spark))
-    lc = F.lower(F.col("country"))
     keep = countries.columns
-    matched = countries.join(k, F.instr(lc, k.k_keyword) > 0, "left")
+    lengths = sorted({len(word) for _, word, _, _ in keyword_rows()})
+    lc = F.lower(F.col("country"))
+    parts = countries.select(*keep, F.explode_outer(substrings(lc, lengths)).alias("_part"))
+    matched = parts.join(k, F.col("_part") == F.col("k_keyword"), "left")
     return matched.groupBy(*keep).agg(F.min_by("k_continent", "k_prio").alias("kw_continent"))
 
 
@@ -126,7 +141,7 @@ def country_lookup(extracted: DataFrame) -> DataFrame:
 def map_continent(df: DataFrame, lookup: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Attach the continent to every row (null country -> unknown)."""
     lk = lookup.where(F.col("country").isNotNull()).withColumnRenamed("country", "_lk_country")
-    joined = lookup_join(df, lk, df.country == lk._lk_country, "left", max_broadcast_rows)
+    joined = lookup_join(df, lk, "country", "_lk_country", max_broadcast_rows)
     return joined.withColumn("continent", F.coalesce(F.col("continent"), F.lit(UNKNOWN_LABEL))).drop("_lk_country")
 
 
@@ -137,7 +152,7 @@ def map_country(df: DataFrame, lookup: DataFrame, max_broadcast_rows: int = MAX_
         F.col("country").alias("_lk_country"),
         F.col("continent").alias("_lk_continent"),
     )
-    joined = lookup_join(df, lk, df.country == lk._lk_raw, "left", max_broadcast_rows)
+    joined = lookup_join(df, lk, "country", "_lk_raw", max_broadcast_rows)
     return joined.withColumns(
         {
             "country": F.when(F.col("_lk_raw").isNotNull(), F.col("_lk_country")).otherwise(F.col("country")),

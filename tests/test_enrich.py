@@ -105,8 +105,12 @@ def test_country_lookup_rewrites_once_per_text(spark):
 def test_lookup_join_falls_back_to_shuffle_above_the_bound(spark, rows):
     facts = spark.createDataFrame([(1, "Japan"), (2, "Peru")], "id int, country string")
     lk = continent_lookup(facts.select("country"))
-    out = map_continent(facts, lk, max_broadcast_rows=rows)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    if rows == 0:
-        assert "BroadcastHashJoin" not in plan
+    lk = spark.createDataFrame(lk.collect(), lk.schema)  # stored: its own joins are not in the plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = map_continent(facts, lk, max_broadcast_rows=rows)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("BroadcastHashJoin" in plan) == (rows > 0)
     assert sorted(r.continent for r in out.collect()) == ["Asia", "South America"]
