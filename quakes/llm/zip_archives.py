@@ -31,6 +31,7 @@ from quakes.llm.common import new_path, store, table
 DATA, INDEX = "data.warc", "index.u64"
 ARCHIVE_BYTES = 128 << 20  # an archive is closed past this size
 RANGE = 4000  # index entries a reading task takes at a time
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -241,7 +242,9 @@ def read_archives(folder: str, manifest: DataFrame, with_payload: bool = False)
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(RANGE).cast("long"))).alias("first")
     parts = manifest.where("records > 0").select("name", first, "records")
     parts = parts.select("name", "first", F.least(F.col("first") + RANGE, F.col("records")).alias("last"))
-    parts = parts.repartition("name", "first")
+    # a count of its own: the rows are few and small, what they stand for is not
+    ranges = manifest.agg(F.sum(F.ceil(F.col("records") / RANGE))).first()[0] or 1
+    parts = parts.repartition(min(ranges, MOST_TASKS), "name", "first")
     return parts.mapInPandas(_read(folder, with_payload), READ + (", payload binary" if with_payload else ""))
 
 

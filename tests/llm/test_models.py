@@ -361,3 +361,13 @@ def test_pages_in_lock_step_and_in_pieces_read_the_same(spark, monkeypatch):
         got = page_text.predict_pages(model, pages)
         assert all(np.allclose(g, w, atol=1e-12) for g, w in zip(got, want, strict=True))
     assert page_text.predict_pages(model, []) == []
+
+
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(zip_archives, "RANGE", 5)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").repartition(4)
+    folder, manifest = zip_archives.archive_pages(pages, archive_bytes=50_000)
+    out = zip_archives.read_archives(folder, manifest)
+    tasks = {r[0] for r in out.select(F.spark_partition_id()).distinct().collect()}
+    assert manifest.count() > 3 and len(tasks) > 3
+    assert sorted(r["page_id"] for r in out.collect()) == sorted(r["page_id"] for r in pages.collect())
