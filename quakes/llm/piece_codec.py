@@ -14,8 +14,8 @@ import heapq
 import re
 import string
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,9 @@ MARK = "▁"
 CACHE_ENTRIES = 150_000  # chunks in each of a task's two cache generations
 CACHE_CHARS = 48
 SHORT = 64  # characters; longer chunks are merged through a heap
+LOCK_STEP = 16_384  # chunks of one length merged at a time
+BLOCK_CHUNKS = 200_000  # chunks of one text looked up at a time
+GROUP_CHARS = 2_000_000  # characters of the texts whose new chunks are merged together
 NEVER = float("inf")
 LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 SYMBOLS = string.punctuation
@@ -86,8 +89,10 @@ class PieceCodec:
         kinds = [p.type for p in model.pieces]
         if 4 in kinds or 5 in kinds:
             raise ValueError("user-defined and unused pieces are not supported")
-        self.rank = {p.piece: (i, -p.score) for i, p in enumerate(model.pieces) if p.type == 1}
-        self.cost = {piece: cost for piece, (_, cost) in self.rank.items()}
+        self.rank = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
+        self.cost = {p.piece: -p.score for p in model.pieces if p.type == 1}
+        self.pieces = len(model.pieces)
+        self.decimal = [str(i) for i in range(self.pieces)]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.unk = kinds.index(2)
         self.end = model.trainer_spec.eos_id
@@ -98,8 +103,9 @@ class PieceCodec:
         if closing:  # symbols that follow a letter in no piece
             words = f"{MARK}*{LETTER.pattern}++(?=[{closing}])|{words}"
         self.chunks = re.compile(".+" if crossing else words, re.DOTALL)
-        self.cache: dict[str, tuple[list[int], bytes, str]] = {}
-        self.older: dict[str, tuple[list[int], bytes, str]] = {}
+        self._pair_table()
+        self.cache: dict[str, tuple[bytes, bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, bytes, str]] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """The escaped text, and the source byte of each of its characters plus the
@@ -142,14 +148,101 @@ class PieceCodec:
             np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), out=at[1:])
         return np.concatenate([at[:1], at]) if self.prefix else at
 
-    def merge(self, chunk: str) -> tuple[list[int], list[int]]:
-        """Ids of a chunk and the number of characters of each (bytes of one
-        character: all on the first, none on the rest)."""
+    def _pair_table(self) -> None:
+        """Numbers for what a part can be (pieces by their ids, further characters of
+        pieces, one for any other character), and the pairs of parts that are pieces."""
+        number = dict(self.rank)
+        for c in sorted(set("".join(self.rank)) - number.keys()):
+            number[c] = self.pieces + len(number) - len(self.rank)
+        self.other = self.pieces + len(number) - len(self.rank)
+        self.of_char = np.full(0x110000, self.other, np.int64)
+        for part, i in number.items():
+            if len(part) == 1:
+                self.of_char[ord(part)] = i
+        pairs = []
+        for piece, cost in self.cost.items():
+            for k in range(1, len(piece)):
+                left, right = number.get(piece[:k]), number.get(piece[k:])
+                if left is not None and right is not None:
+                    pairs.append((left * (self.other + 1) + right, cost, self.rank[piece]))
+        pairs.sort()
+        keys, costs, joined = zip(*pairs, strict=True) if pairs else ((), (), ())
+        self.pair_keys = np.array([*keys, 1 << 62], np.int64)
+        self.pair_costs = np.array([*costs, NEVER])
+        self.pair_ids = np.array([*joined, 0], np.int64)
+
+    def _look_up_pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left * (self.other + 1) + right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_costs[at], NEVER), self.pair_ids[at]
+
+    def merge_all(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes, str]]:
+        """Of distinct chunks: ids, the number of characters of each (bytes of one
+        character: all on the first, none on the rest), 32 bits each, and the decimal ids."""
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for chunk in chunks:
+            by_length[len(chunk)].append(chunk)
+        out = {}
+        for length, group in by_length.items():
+            if length > SHORT:
+                out.update((chunk, self._entry(self._merge_long(chunk))) for chunk in group)
+            else:
+                for at in range(0, len(group), LOCK_STEP):
+                    self._merge_together(group[at : at + LOCK_STEP], length, out)
+        return out
+
+    def _merge_together(self, group: list[str], length: int, out: dict) -> None:
+        """Chunks of one length in lock step: each has its cheapest pair merged, leftmost
+        first, in every round, and is done when no pair of it is a piece."""
+        points = np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(-1, length)
+        parts, sizes, names = self.of_char[points], np.ones(points.shape, np.uint32), np.arange(len(group))
+        costs, joined = self._look_up_pairs(parts[:, :-1], parts[:, 1:])
+        for width in range(length, 0, -1):
+            if width > 1:
+                k = costs.argmin(1)
+                live = costs[np.arange(len(k)), k] < NEVER
+            else:
+                live = np.zeros(len(parts), bool)
+            done = np.nonzero(~live)[0]
+            known = (parts[done] < self.pieces).all(1).tolist()
+            rows, lengths = parts[done], sizes[done]
+            for name, row, ids, n, whole in zip(
+                names[done].tolist(), rows.tolist(), rows.astype(np.uint32), lengths, known, strict=True
+            ):
+                chunk = group[name]
+                if whole:
+                    out[chunk] = ids.tobytes(), n.tobytes(), " ".join([self.decimal[i] for i in row])
+                else:
+                    ends = np.cumsum(n).tolist()
+                    out[chunk] = self._entry([chunk[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+            if not live.any():
+                return
+            names, parts, sizes, costs, joined, k = (x[live] for x in (names, parts, sizes, costs, joined, k))
+            row = np.arange(len(k))
+            parts[row, k] = joined[row, k]
+            sizes[row, k] += sizes[row, k + 1]
+            stays = np.ones(parts.shape, bool)
+            stays[row, k + 1] = False
+            parts, sizes = (x[stays].reshape(len(k), width - 1) for x in (parts, sizes))
+            stays = np.ones(costs.shape, bool)
+            stays[row, k] = False
+            costs, joined = (x[stays].reshape(len(k), width - 2) for x in (costs, joined))
+            for has, at in ((k < width - 2, k), (k > 0, k - 1)):  # pairs of the new part
+                r, left = row[has], at[has]
+                costs[r, left], joined[r, left] = self._look_up_pairs(parts[r, left], parts[r, left + 1])
+
+    def _merge_short(self, chunk: str) -> list[str]:
+        """Parts of one chunk, merged in lock step."""
+        sizes = np.frombuffer(self.merge_all([chunk])[chunk][1], np.uint32)
+        ends = np.cumsum(sizes[sizes > 0]).tolist()
+        return [chunk[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _entry(self, parts: list[str]) -> tuple[bytes, bytes, str]:
         ids, lengths = [], []
-        for part in self._merge_short(chunk) if len(chunk) <= SHORT else self._merge_long(chunk):
+        for part in parts:
             hit = self.rank.get(part)
-            if hit:
-                ids.append(hit[0])
+            if hit is not None:
+                ids.append(hit)
                 lengths.append(len(part))
             elif self.bytes:
                 raw = part.encode()
@@ -158,24 +251,10 @@ class PieceCodec:
             else:
                 ids.append(self.unk)
                 lengths.append(len(part))
-        return ids, lengths
-
-    def _merge_short(self, chunk: str) -> list[str]:
-        """The cheapest pair, leftmost first, until no pair is a piece: a scan per merge."""
-        parts, get = list(chunk), self.cost.get
-        costs = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
-        while costs and (least := min(costs)) < NEVER:
-            k = costs.index(least)
-            parts[k] = joined = parts[k] + parts.pop(k + 1)
-            del costs[k]
-            if k < len(costs):
-                costs[k] = get(joined + parts[k + 1], NEVER)
-            if k:
-                costs[k - 1] = get(parts[k - 1] + joined, NEVER)
-        return parts
+        return np.array(ids, np.uint32).tobytes(), np.array(lengths, np.uint32).tobytes(), " ".join(map(str, ids))
 
     def _merge_long(self, chunk: str) -> list[str]:
-        """The same through a heap of pairs."""
+        """The same for one chunk, through a heap of pairs."""
         n, cost = len(chunk), self.cost
         size, before, after = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, int, int]] = []
@@ -207,28 +286,41 @@ class PieceCodec:
             at += size[at]
         return parts
 
-    def encode(self, text: str) -> tuple[list[int], tuple[str, ...], np.ndarray]:
-        """Ids without the end, their decimal forms by chunk, characters per id."""
-        chunks = self.chunks.findall(self.normalise(text)[0])
+    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes, str]]:
+        """Entries of chunks not in the cache, through the older generation; a full one
+        replaces it."""
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.older, self.cache = self.cache, {}
+        got = {chunk: entry for chunk in chunks if (entry := self.older.get(chunk))}
+        got.update(self.merge_all([chunk for chunk in chunks if chunk not in got]))
+        self.cache.update((chunk, entry) for chunk, entry in got.items() if len(chunk) <= CACHE_CHARS)
+        return got
+
+    def _look_up(self, chunks: list[str]) -> list[tuple[bytes, bytes, str]]:
         entries = list(map(self.cache.get, chunks))
         if None in entries:
-            for k, entry in enumerate(entries):
-                if entry is None:
-                    entries[k] = self.cache.get(chunks[k]) or self._remember(chunks[k])
-        ids, lengths, texts = zip(*entries, strict=True) if entries else ((), (), ())
-        return list(chain.from_iterable(ids)), texts, np.frombuffer(b"".join(lengths), np.uint32)
-
-    def _remember(self, chunk: str) -> tuple[list[int], bytes, str]:
-        """A chunk's entry, through the older generation; a full one replaces it."""
-        got = self.older.get(chunk)
-        if got is None:
-            ids, lengths = self.merge(chunk)
-            got = ids, np.array(lengths, np.uint32).tobytes(), " ".join(map(str, ids))
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.older, self.cache = self.cache, {}
-            self.cache[chunk] = got
-        return got
+            got = self.learn({chunk for chunk, entry in zip(chunks, entries, strict=True) if entry is None})
+            entries = [entry or got[chunk] for chunk, entry in zip(chunks, entries, strict=True)]
+        return entries
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+        """``encode`` of texts that are few or short, whose new chunks are merged together."""
+        split = [self.chunks.findall(self.normalise(text)[0]) for text in texts]
+        if len(split) > 1:
+            self.learn({chunk for chunk in set().union(*split) - self.cache.keys() if len(chunk) <= CACHE_CHARS})
+        for chunks in split:
+            ids, lengths, decimals = [], [], []
+            for at in range(0, len(chunks), BLOCK_CHUNKS):
+                i, n, d = zip(*self._look_up(chunks[at : at + BLOCK_CHUNKS]), strict=True)
+                ids.append(b"".join(i))
+                lengths.append(b"".join(n))
+                decimals += d
+            numbers = (np.frombuffer(b"".join(x), np.uint32) for x in (ids, lengths))
+            yield next(numbers).tolist(), decimals, next(numbers)
+
+    def encode(self, text: str) -> tuple[list[int], list[str], np.ndarray]:
+        """Ids without the end, their decimal forms by chunk, characters per id."""
+        return next(self.encode_all([text]))
 
     def span_arrays(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte in the original text, and the byte after the last, of each id of
@@ -247,13 +339,28 @@ class PieceCodec:
         starts, ends = self.span_arrays(text, lengths)
         return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
-    def rows(self, text: str) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
-        """Ids with the end id, their decimal forms by chunk, first bytes and ends of
-        their spans (the end id: empty, at the end)."""
-        ids, texts, lengths = self.encode(text)
-        starts, ends = self.span_arrays(text, lengths)
-        size = len(text) if text.isascii() else len(text.encode())
-        return [*ids, self.end], [*texts, str(self.end)], np.append(starts, size), np.append(ends, size)
+    def rows(self, texts: list[str]) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
+        """Of each text: ids with the end id, their decimal forms by chunk, first bytes and
+        ends of their spans (the end id: empty, at the end)."""
+        for text, (ids, decimals, lengths) in zip(texts, self.encode_all(texts), strict=True):
+            starts, ends = self.span_arrays(text, lengths)
+            size = len(text) if text.isascii() else len(text.encode())
+            yield [*ids, self.end], [*decimals, str(self.end)], np.append(starts, size), np.append(ends, size)
+
+
+def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts of a column (null: empty) with the row of the first: so many as have
+    ``GROUP_CHARS`` characters together, or one longer text."""
+    first, group, chars = 0, [], 0
+    for row in range(len(column)):
+        text = column[row].as_py() or ""
+        if group and chars + len(text) > GROUP_CHARS:
+            yield first, group
+            first, group, chars = row, [], 0
+        group.append(text)
+        chars += len(text)
+    if group:
+        yield first, group
 
 
 def piece_codec(path: str) -> PieceCodec:
@@ -269,10 +376,10 @@ def _digests(path: str):
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
-                ids, texts, starts, ends = codec.rows(text or "")
-                spans = hashlib.sha256(np.stack([starts, ends], 1).astype("<u4").tobytes()).hexdigest()
-                out.append((len(ids), sha(" ".join(texts)), sha(library.decode(ids)), spans))
+            for _, group in _groups(b.column(1)):
+                for ids, decimals, starts, ends in codec.rows(group):
+                    spans = hashlib.sha256(np.stack([starts, ends], 1).astype("<u4").tobytes()).hexdigest()
+                    out.append((len(ids), sha(" ".join(decimals)), sha(library.decode(ids)), spans))
             n, *digests = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), *(pa.array(d, pa.string()) for d in digests)],
@@ -287,18 +394,17 @@ def _pieces(path: str):
         codec = piece_codec(path)
         ints = pa.list_(pa.int32())
         for b in batches:
-            for row in range(b.num_rows):  # a batch per text bounds memory by the longest one
-                text = b.column(1)[row].as_py() or ""
-                ids, _, starts, ends = codec.rows(text)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(row, 1),
-                        pa.array([ids], ints),
-                        pa.array([starts], ints),
-                        pa.array([ends], ints),
-                    ],
-                    names=["doc_id", "ids", "starts", "ends"],
-                )
+            for first, group in _groups(b.column(1)):
+                for row, (ids, _, starts, ends) in enumerate(codec.rows(group), first):
+                    yield pa.RecordBatch.from_arrays(  # a batch per text bounds memory by the longest one
+                        [
+                            b.column(0).slice(row, 1),
+                            pa.array([ids], ints),
+                            pa.array([starts], ints),
+                            pa.array([ends], ints),
+                        ],
+                        names=["doc_id", "ids", "starts", "ends"],
+                    )
 
     return run
 
