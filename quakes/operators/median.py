@@ -41,7 +41,13 @@ def exact_quantiles(
 ) -> dict[tuple[str, float], float | None]:
     """Exact quantiles with linear interpolation between the values at ranks
     ``floor((n-1)q)`` and ``ceil((n-1)q)`` (as pandas and Spark's percentile)."""
-    counts = materialize(value_counts_long(df, cols), *cache_key, "quantile_counts")
+    return quantiles_of_counts(materialize(value_counts_long(df, cols), *cache_key, "quantile_counts"), cols, qs, slices)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, cols: list[str], qs: list[float], slices: int | None = None
+) -> dict[tuple[str, float], float | None]:
+    """The same from a stored table ``col_name, value, cnt`` with a row per value."""
     ranged = counts.repartitionByRange(slices, "col_name", "value") if slices else counts.repartitionByRange(
         "col_name", "value"
     )

@@ -354,8 +354,20 @@ FROM (SELECT continent, CAST(sum({_weights('EQ_intensity', LOSS_WEIGHTS)}) AS BI
     }
 
 
+#: Queries that answer as another one does, by another way.
+SAME_ANSWER = {
+    "c9_modes_by_summary": "c9_modes",
+    "c9_modes_by_month": "c9_modes",
+    "c10_alerts_by_month": "c10_alert_counts",
+    "c11_nulls_by_month": "c11_null_counts",
+    "c13_describe_by_month": "c13_describe",
+}
+
+
 def all_sql() -> dict[str, str]:
     base = base_ctes()
     out = {key: base + "\n" + body for key, body in QUERY_SQL.items()}
-    out.update({key: base + "\n" + body for key, body in operator_sql().items()})
+    operators = operator_sql()
+    operators.update({key: operators[same] for key, same in SAME_ANSWER.items()})
+    out.update({key: base + "\n" + body for key, body in operators.items()})
     return out

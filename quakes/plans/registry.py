@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quakes.operators import profile
+from quakes.operators import month_state, profile
 from quakes.operators.clean import clean, clean_unfilled, lower_alert
 from quakes.operators.cluster import write_clustered
 from quakes.operators.distinct import distinct_counts
 from quakes.operators.enrich import continent_lookup
+from quakes.operators.frequent import frequent_modes
 from quakes.operators.median import exact_medians
 from quakes.operators.serial import serial_numbers
 from quakes.plans import catalog, oracle
@@ -101,6 +102,16 @@ def _medians(spark, sf_dir):
     return spark.createDataFrame(row, ", ".join(f"{c} double" for c in cols))
 
 
+def _month_state(spark, sf_dir):
+    """States of the months before 2021, of 2021 with values that are corrected later, then of all from 2021 on."""
+    raw = lower_alert(quake_raw(spark, sf_dir))
+    path = table_dir(spark, sf_dir, uuid.uuid4().hex, "month_state")
+    later = "time >= TIMESTAMP_NTZ '2021-01-01'"
+    month_state.save_months(raw.where(f"time IS NULL OR NOT ({later})"), path)
+    month_state.save_months(raw.withColumns({"gap": F.col("gap") + 1, "alert": F.lit("red")}), path, "2021-01-01", "2022-01-01")
+    return month_state.save_months(raw.where(later), path)
+
+
 def _lookup(spark, sf_dir):
     return continent_lookup(clean_unfilled(quake_raw(spark, sf_dir)).select("country"))
 
@@ -171,6 +182,11 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c10_alert_counts": lambda spark, d: profile.value_counts(lower_alert(quake_raw(spark, d)), "alert"),
     "c11_null_counts": lambda spark, d: profile.null_counts(quake_raw(spark, d)),
     "c13_describe": lambda spark, d: profile.describe(clean_unfilled(quake_raw(spark, d))),
+    "c9_modes_by_summary": lambda spark, d: frequent_modes(clean_unfilled(quake_raw(spark, d))),
+    "c9_modes_by_month": lambda spark, d: month_state.state_modes(_month_state(spark, d)),
+    "c10_alerts_by_month": lambda spark, d: month_state.state_value_counts(_month_state(spark, d), "alert"),
+    "c11_nulls_by_month": lambda spark, d: month_state.state_null_counts(_month_state(spark, d)),
+    "c13_describe_by_month": lambda spark, d: month_state.state_describe(_month_state(spark, d)),
     "d_continent_lookup": _lookup,
     "r2_numbered_q12": _numbered_q12,
     "r2_numbered_q3": _numbered_q3,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakes.sources.feed import source_filter
@@ -35,16 +35,14 @@ def load_windows(raw: DataFrame, path: str, start: dt.date | str, end: dt.date |
     rows = rows.hint("rebalance", "year", "month")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
     schema = rows.schema
-    table = spark.read.schema(schema).parquet(path)
-    _clear(table, path, windows, source_filter(raw, start, end, min_mag))
+    clear_windows(spark, path, windows, source_filter(raw, start, end, min_mag).select(F.year("time"), F.month("time")))
     return spark.read.schema(schema).parquet(path)
 
 
-def _clear(table: DataFrame, path: str, windows: list[tuple[int, int]], loaded: DataFrame) -> None:
+def clear_windows(spark: SparkSession, path: str, windows: list[tuple[int, int]], loaded: DataFrame) -> None:
     """A dynamic overwrite leaves partitions it has no row for: remove those of the
-    load's own windows."""
-    spark = table.sparkSession
-    met = {tuple(r) for r in loaded.select(F.year("time"), F.month("time")).distinct().collect()}  # a row per window
+    load's own windows.  ``loaded`` has the year and month of every row of the load."""
+    met = {tuple(r) for r in loaded.distinct().collect()}  # a row per window
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for year, month in windows:
         if (year, month) not in met:
