@@ -142,3 +142,43 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
         F.col("__base_failed").alias("base_failed"),
         F.col("__kept").alias("kept"),
     )
+
+
+OP7_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)
+), windows AS (
+  SELECT r, i, x, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 4) OVER o AS x4
+  FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words) WINDOW o AS (PARTITION BY r ORDER BY i)
+), copies AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, x, x1, x2, x3, x4) AS copies FROM windows WHERE x4 IS NOT NULL
+), repeats AS (
+  SELECT r, sum(least(5, next - i)) AS n FROM (
+    SELECT r, i, lead(i, 1, i + 5) OVER (PARTITION BY r ORDER BY i) AS next FROM copies WHERE copies > 1
+  ) GROUP BY r
+), counts AS (
+  SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines
+  FROM words LEFT JOIN repeats USING (r)
+), rules AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         100 * n_symbols > 50 * n_words AS symbols_failed, 100 * n_dup_lines > 50 * n_lines AS dup_lines_failed
+  FROM counts
+), hosts AS (
+  SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE failed) AS k
+  FROM (UNPIVOT (SELECT source, base_failed, symbols_failed, dup_lines_failed FROM rules)
+        ON base_failed, symbols_failed, dup_lines_failed INTO NAME rule VALUE failed)
+  GROUP BY source, rule
+), moments AS (
+  SELECT rule, sum(k) / sum(n) AS m, var_pop(k / n) AS v FROM hosts GROUP BY rule
+), priors AS (
+  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1e6 END AS strength FROM moments
+), verdicts AS (
+  SELECT source, max((k + m * strength) / (n + strength)) >= 0.9 AS host_failed FROM hosts JOIN priors USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR host_failed) AS kept
+FROM rules JOIN verdicts ON rules.source IS NOT DISTINCT FROM verdicts.source
+"""

@@ -11,7 +11,7 @@ from quakes.llm.page_text import op5_page_text
 from quakes.llm.periodic_runs import op13_periodic_runs
 from quakes.llm.piece_codec import op10_piece_codec
 from quakes.llm.pitman_yor import op2_pitman_yor
-from quakes.llm.quality_rules import op7_quality_rules
+from quakes.llm.quality_rules import OP7_SQL, op7_quality_rules
 from quakes.llm.secret_scan import op9_secret_scan
 from quakes.llm.simhash_dedup import op1_simhash_dedup
 from quakes.llm.zip_archives import op6_warc_zip
@@ -35,7 +35,7 @@ QUERIES = {
     )
 }
 
-SQL = {"op3_exact_dedup": OP3_SQL, "op11_line_dedup": OP11_SQL}
+SQL = {"op3_exact_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL, "op11_line_dedup": OP11_SQL}
 
 
 def queries():
