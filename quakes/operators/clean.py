@@ -1,16 +1,19 @@
 """Cleaning operators C1-C8, C12.  Every step is DataFrame -> DataFrame and
 built from JVM expressions, so the whole cleaning is one narrow projection
-(no shuffle) except the median computation, which is a single global
-aggregate returning seven scalars."""
+(no shuffle) except the median computation, a distributed selection that
+returns seven scalars."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakes.functions.rules import ALERT_MISSING, DOUBLE_COLUMNS, EMPTY_COLUMNS, MEDIAN_FILL_COLUMNS
 from quakes.functions.text import country_of, last_comma_part, strip_ws
 from quakes.functions.timeparts import time_parts
+from quakes.operators.median import exact_medians
 
 
 def add_time_parts(df: DataFrame, ts: str = "time") -> DataFrame:
@@ -53,21 +56,14 @@ def cast_doubles(df: DataFrame, cols: list[str] = DOUBLE_COLUMNS, strict: bool =
 def column_medians(
     df: DataFrame, cols: list[str] = MEDIAN_FILL_COLUMNS, approx_accuracy: int | None = None
 ) -> dict[str, float | None]:
-    """Exact medians of non-null values (midpoint of the two middle values).
-
-    One aggregate for all columns.  Spark's exact percentile keeps a
-    value -> count map per partial aggregate, so the buffer is bounded by the
-    number of distinct values per column (instrument resolution: station
-    counts, degrees, 2-4 decimal residuals), not by rows.  For a column of
-    unbounded resolution pass ``approx_accuracy`` (e.g. 100000): a fixed-size
-    sketch per task, relative rank error 1/accuracy (then the lower middle
-    value is returned, not the midpoint).
+    """Exact medians of non-null values (midpoint of the two middle values), by the
+    distributed selection of ``operators.median``: no task holds a column's values.
+    ``approx_accuracy`` (e.g. 100000) asks for a fixed-size sketch per task instead:
+    relative rank error 1/accuracy, the lower middle value and not the midpoint.
     """
-    if approx_accuracy:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), 0.5, approx_accuracy).alias(c) for c in cols]
-    else:
-        aggs = [F.median(F.col(c).cast("double")).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+    if not approx_accuracy:
+        return exact_medians(df, cols, uuid.uuid4().hex)
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, approx_accuracy).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
 
 
