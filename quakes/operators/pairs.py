@@ -35,6 +35,8 @@ from quakes.functions.geo import haversine_km
 from quakes.functions.timeparts import epoch_micros
 from quakes.session import checkpoint_dir
 
+ROWS_PER_SLICE = 4_000_000  # of four narrow columns
+
 # The slice scan travels whole: workers need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -120,7 +122,15 @@ def _finish(pairs: DataFrame, max_km: float, max_seconds: float) -> DataFrame:
     )
 
 
-def slice_candidates(df: DataFrame, max_km: float, max_seconds: float, slices: int | None = None) -> DataFrame:
+def slices_needed(ev: DataFrame, rows_per_slice: int) -> int | None:
+    """A slice count that grows with the rows, or None where the session's partitions do."""
+    needed = -(-ev.count() // rows_per_slice)
+    return needed if needed > int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def slice_candidates(
+    df: DataFrame, max_km: float, max_seconds: float, slices: int | None = None, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Range slices of (time, id), scanned in order: candidate pairs inside
     each slice (within both limits) and every slice's first and last row."""
     ev = df.where(F.col("time").isNotNull()).select(
@@ -129,6 +139,7 @@ def slice_candidates(df: DataFrame, max_km: float, max_seconds: float, slices: i
         F.col("latitude").alias("lat"),
         F.col("longitude").alias("lon"),
     )
+    slices = slices or slices_needed(ev, rows_per_slice)
     # Without a fixed count AQE sizes the slices (coalescing keeps adjacent
     # ranges together, so every slice is still one contiguous range).
     ranged = ev.repartitionByRange(slices, "t", "id") if slices else ev.repartitionByRange("t", "id")
@@ -139,12 +150,17 @@ def slice_candidates(df: DataFrame, max_km: float, max_seconds: float, slices: i
 
 
 def consecutive_pairs(
-    df: DataFrame, max_km: float = 50.0, max_seconds: float = 3600.0, slices: int | None = None
+    df: DataFrame,
+    max_km: float = 50.0,
+    max_seconds: float = 3600.0,
+    slices: int | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """prev_id, id, prev_time, time, gap_s, distance_km for consecutive events
-    at most ``max_seconds`` apart and at most ``max_km`` apart."""
+    at most ``max_seconds`` apart and at most ``max_km`` apart.  A slice has about
+    ``rows_per_slice`` rows at most, however many partitions the session shuffles to."""
     checkpoint_dir(df.sparkSession)
-    cand = slice_candidates(df, max_km, max_seconds, slices).checkpoint(eager=True)
+    cand = slice_candidates(df, max_km, max_seconds, slices, rows_per_slice).checkpoint(eager=True)
 
     inner = cand.where(F.col("kind") == PAIR)
     edges = cand.where(F.col("kind") != PAIR)

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quakes.operators.pairs import consecutive_pairs, consecutive_pairs_bruteforce
+from quakes.operators.pairs import FIRST, consecutive_pairs, consecutive_pairs_bruteforce, slice_candidates
 from quakes.plans.pipeline import eq_table
 
 from conftest import SF_MID, SF_SMALL
@@ -62,3 +62,13 @@ def test_pairs_one_hot_timestamp_is_split(spark):
 def test_pairs_small_fixture(spark):
     eq = eq_table(spark, SF_SMALL)
     assert _rows(consecutive_pairs(eq, slices=5)) == _rows(consecutive_pairs_bruteforce(eq))
+
+
+def test_slices_grow_with_the_rows(spark):
+    eq = eq_table(spark, SF_SMALL)
+    n = eq.where("time IS NOT NULL").count()
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = n // (4 * few)
+    firsts = lambda **k: slice_candidates(eq, 50.0, 3600.0, **k).where(F.col("kind") == FIRST).count()
+    assert firsts() <= few and firsts(rows_per_slice=size) > 3 * few
+    assert _rows(consecutive_pairs(eq, rows_per_slice=size)) == _rows(consecutive_pairs_bruteforce(eq))
