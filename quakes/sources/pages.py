@@ -113,13 +113,12 @@ def write_pages(features: DataFrame, path: str) -> None:
     """Land features (column ``f``) as one page document per month of their time: a
     line per feature, streamed to the month's file."""
     month = F.coalesce(F.date_format(F.timestamp_millis("f.properties.time"), "yyyy-MM"), F.lit("none"))
-    rows = features.select(month.alias("month"), F.col("f.id").alias("id"), F.to_json("f").alias("value"))
-    first = F.row_number().over(Window.partitionBy("month").orderBy("id", "value")) == 1
-    lines = rows.select("month", F.lit(1).alias("rank"), "id", F.concat(F.when(first, "").otherwise(","), F.col("value")).alias("value"))
-    months = rows.select("month").distinct()
-    head = F.concat(F.lit('{"type":"FeatureCollection","metadata":{"title":"{events} of \\"'), F.col("month"), F.lit('\\"]","links":[{"rel":"self"}]},"features":['))
-    ends = months.select("month", F.lit(0).alias("rank"), F.lit("").alias("id"), head.alias("value")).unionByName(
-        months.select("month", F.lit(2).alias("rank"), F.lit("").alias("id"), F.lit('],"bbox":[-180,-90,180,90],"links":[{"rel":"next"}]}').alias("value"))
-    )
-    ordered = lines.unionByName(ends).repartition("month").sortWithinPartitions("month", "rank", F.length("value") == 0, F.col("value").startswith(","), "id")
+    rows = features.where("f IS NOT NULL").select(month.alias("month"), F.col("f.id").alias("id"), F.to_json("f").alias("value"))
+    # one shuffle puts a month in one task; its head and its end go with its first and its last feature
+    of_month = Window.partitionBy("month").orderBy("id", "value")
+    head = F.concat(F.lit('{"type":"FeatureCollection","metadata":{"title":"{events} of \\"'), F.col("month"), F.lit('\\"]","links":[{"rel":"self"}]},"features":[\n'))
+    before = F.when(F.row_number().over(of_month) == 1, head).otherwise(",")
+    end = F.when(F.lead(F.lit(1)).over(of_month).isNull(), '\n],"bbox":[-180,-90,180,90],"links":[{"rel":"next"}]}').otherwise("")
+    lines = rows.select("month", "id", F.col("value").alias("feature"), F.concat(before, F.col("value"), end).alias("value"))
+    ordered = lines.sortWithinPartitions("month", "id", "feature")
     ordered.select("month", "value").write.mode("overwrite").partitionBy("month").text(path)

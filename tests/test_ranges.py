@@ -82,6 +82,28 @@ def test_written_pages_are_valid_documents(spark, tmp_dir):
     assert sorted(x["id"] for d in docs for x in d["features"]) == sorted(f"f{k}" for k in range(30))
 
 
+def test_a_month_is_one_page_however_partitions_are_joined(spark, tmp_dir):
+    rows_ = spark.range(0, 3000, 1, 6).select(F.concat(F.lit("f"), "id").alias("id"), (F.col("id") % 40 * 30 * 86_400_000).alias("time"))
+    f = rows_.select(F.struct(F.lit("Feature").alias("type"), "id", F.struct("time").alias("properties")).alias("f"))
+    f = f.select(F.from_json(F.to_json("f"), feed.FEATURE).alias("f"))
+    # so many bytes of lines call for several tasks, those of the months for one
+    small = {"advisoryPartitionSizeInBytes": "20k", "coalescePartitions.minPartitionSize": "1k", "coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(f"spark.sql.adaptive.{k}") for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+        pages.write_pages(f, tmp_dir + "/p")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    names = [os.path.join(d, n) for d, _, ns in os.walk(tmp_dir + "/p") for n in ns if n.endswith(".txt")]
+    assert len(names) == len({os.path.dirname(n) for n in names}) > 30
+    docs = [json.load(open(n, encoding="utf-8")) for n in names]
+    assert sorted(x["id"] for d in docs for x in d["features"]) == sorted(f"f{k}" for k in range(3000))
+    assert all([x["id"] for x in d["features"]] == sorted(x["id"] for x in d["features"]) for d in docs)
+    assert pages.read_pages(spark, tmp_dir + "/p").count() == 3000
+
+
 ODD = [
     (1, "plain", 1.5), (2, 'a "quoted", one', None), (3, "two\nlines", 0.0), (4, "", 2.0), (5, None, 3.0), (6, " blank ", None),
     (7, '"', 1.0), (8, "\n\n\n", 1.0), (9, "x\r\ny\r", 1.0), (10, 'end"\n"', 1.0), (11, "é,ß\t'", 1e-7), (12, "null", 1.0),
