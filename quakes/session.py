@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +61,26 @@ def apply_conf(spark: SparkSession) -> None:
                 raise
 
 
+#: Partition values that a task keeps files open for; the rows of more are sorted (and spilled).
+OPEN_PARTITIONS = 32
+#: Row groups of these files: what an open file holds in memory at most.
+OPEN_FILE_OPTIONS = {"parquet.block.size": str(16 << 20)}
+
+
+@contextmanager
+def open_partitions(spark: SparkSession) -> Iterator[dict[str, str]]:
+    """Partitioned writes within put each row into its partition's open file, so that a
+    task's memory does not grow with its rows, as it does when it sorts them by partition.
+    Gives the writer's options."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(OPEN_PARTITIONS))
+    try:
+        yield OPEN_FILE_OPTIONS
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -44,9 +44,9 @@ def save_table(
 ) -> DataFrame:
     """Replace the EQ table.
 
-    By default the write is narrow: each task sorts its rows by the partition
-    column and writes one file per year it holds (no exchange of the fact
-    table).  Feeds land in time order, so a task usually holds one year.
+    By default the write is narrow: each task writes one file per year it
+    holds, all open at once (no exchange of the fact table, and no sort of a
+    task's rows, ``session.open_partitions``).  Feeds land in time order, so a task usually holds one year.
     ``rebalance=True`` adds AQE's rebalance (one shuffle of the table) to even
     out file sizes when tasks hold many years in small pieces.
     With a path the table is Parquet files there, registered as a temp view;

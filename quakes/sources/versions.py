@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quakes.session import open_partitions
+
 MARK = "__load_"
 
 
@@ -57,7 +59,8 @@ def replace_table(
     seen = Observation()
     try:
         writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("parquet")
-        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(_quoted(schema, load))
+        with open_partitions(spark) as options:
+            (writer.options(**options).partitionBy(*partition_by) if partition_by else writer).saveAsTable(_quoted(schema, load))
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {_quoted(schema, load)}")
         raise
@@ -95,7 +98,8 @@ def replace_folder(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("y
     fs = place(target).getFileSystem(conf)
     writer = df.write
     try:
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
+        with open_partitions(spark) as options:
+            (writer.options(**options).partitionBy(*partition_by) if partition_by else writer).parquet(staged)
     except Exception:
         fs.delete(place(staged), True)
         raise

@@ -143,3 +143,37 @@ def test_small_table_is_the_registered_one(spark):
     from quakes.plans.registry import queries
 
     assert queries()["s8_managed_table"](spark, SF_SMALL).count() > 1
+
+
+def test_rows_go_to_their_partitions_without_a_sort(spark, tmp_dir):
+    """A task writes before it has read its last row, so it does not hold them all."""
+
+    def seen(batches):
+        import glob
+        import time
+
+        import pyarrow as pa
+
+        n = 0
+        for b in batches:
+            n += b.num_rows
+            files = 0
+            for _ in range(50 if n == 400_000 else 0):  # at the last rows
+                files = len(glob.glob(f"{tmp_dir}/_staged-*/**/*.parquet", recursive=True))
+                if files:
+                    break
+                time.sleep(0.1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([files] * b.num_rows, pa.int32())], names=["id", "files"])
+
+    df = spark.range(0, 400_000, 1, 1).mapInArrow(seen, "id long, files int").withColumn("year", F.col("id").cast("int") % 7)
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    versions.replace_folder(df, f"{tmp_dir}/t")
+    assert spark.conf.get(key, None) == before
+    got = spark.read.parquet(f"{tmp_dir}/t")
+    assert got.agg(F.max("files")).first()[0] > 0
+    assert (got.count(), got.distinct().count(), got.where("id % 7 <> year").count()) == (400_000, 400_000, 0)
+    many = spark.range(0, 4000, 1, 1).withColumn("year", F.col("id").cast("int") % 50)  # more than are kept open
+    versions.replace_folder(many, f"{tmp_dir}/t")
+    got = spark.read.parquet(f"{tmp_dir}/t")
+    assert (got.distinct().count(), got.where("id % 50 <> year").count()) == (4000, 0)
