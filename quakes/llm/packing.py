@@ -20,11 +20,12 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +38,18 @@ TOKENIZER = "word_bpe_49k.json"
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose normal form is their lower case and whose boundaries are those of UNIT.
 PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-UNIT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+NOT_PLAIN = "[^!-&(-;=-~À-ÖØ-öø-ÿ]"
+PLAIN_BYTES = bytes(b for b in range(256) if b == 32 or PLAIN.fullmatch(chr(b)))  # and a space, in Latin-1
+UNIT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
 WORD_END = "</w>"
 CACHE_WORDS = 200_000  # in each of a task's two cache generations
+CACHE_UNITS = 400_000  # likewise of units
 CACHE_CHARS = 48
 REFILL_PASSES = 4
 MOST_TASKS = 10_000
 BATCH_WORDS = 20_000  # encoded at a time, which bounds the tokenizer's memory
+BATCH_TEXTS, BATCH_BYTES = 4096, 8 << 20  # whose words are looked up together, a longer text alone
+SPACE_ID = (1 << 32) - 1  # of no token
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,15 +58,38 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _joined(words: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+
+
+def _plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return False
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are looked up together."""
+    first = size = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if k - first == BATCH_TEXTS or (k > first and size + n > BATCH_BYTES):
+            yield first, k
+            first, size = k, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, remembered by word.
+    """Ids of whole texts, from those of their distinct words.
 
     For tokenizers that lower-case, drop white space, separate letters, single digits
     and symbols, and end each of these units with ``WORD_END``: white space is then a
-    boundary no token crosses, and a text's ids are those of its words.  Words not
-    remembered go to the tokenizer, Latin-1 words without ``'`` and ``<`` by their
-    units and past its normaliser, which would leave them as they are.  Two
-    generations bound what is remembered."""
+    boundary no token crosses, and a text's ids are those of its words.  Latin-1 words
+    without ``'`` and ``<`` are looked up by their units, and unknown units go past the
+    tokenizer's normaliser, which would leave them as they are; other words are looked
+    up whole.  Two generations of each bound what is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -73,9 +102,10 @@ class WordEncoder:
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {" ": struct.pack("<I", SPACE_ID)}
+        self.older_units: dict[str, bytes] = {}
         probe = "Ab12 \n (É,) ab"
         if self._full([probe])[0] != b"".join(self._units(["ab", "1", "2", "(", "é", ",)", "ab"])):
             raise ValueError("a tokenizer of lower-case units is needed")
@@ -101,44 +131,57 @@ class WordEncoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()  # at ASCII white space
-        found = list(map(self.cache.get, words))
-        if None in found:
-            new = self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return b"".join(found)
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are not in the cache; all but long words go into it."""
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the places where each begins (and the
+        last ends)."""
+        words = pc.ascii_split_whitespace(texts)
+        found = words.flatten().dictionary_encode()
+        of_words, place = self._words(found.dictionary)
+        # bytes of words put one after another by Arrow
+        taken = of_words.take(pa.array(place[found.indices.to_numpy(zero_copy_only=False)]))
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64, len(taken) + 1) // 4
+        return np.frombuffer(data or b"", "<u4", ends[-1]), ends[words.offsets.to_numpy()]
+
+    def _words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """An array with the ids of each word as bytes, and each word's place there."""
+        joined, other, place = _joined(words), [], np.arange(len(words))
+        if not _plain(joined) or (pc.max(pc.utf8_length(words)).as_py() or 0) > CACHE_CHARS:
+            whole = pc.or_(pc.greater(pc.utf8_length(words), CACHE_CHARS), pc.match_substring_regex(words, NOT_PLAIN))
+            other = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            joined = _joined(pc.if_else(whole, "", words))
+        parts = UNIT.findall(joined.lower())
+        ids = np.frombuffer(b"".join(map(self._known_units(set(parts)).__getitem__, parts)), "<u4")
+        space = ids == SPACE_ID
+        cut = np.flatnonzero(space)
+        ends = 4 * np.concatenate([[0], cut - np.arange(len(cut)), [len(ids) - len(cut)]])
+        of_words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids[~space])])
+        if len(other):
+            place[other] = len(of_words) + np.arange(len(other))
+            of_words = pa.concat_arrays([of_words, pa.array(self._known_words(words.take(pa.array(other)).to_pylist()), pa.large_binary())])
+        return of_words, place
+
+    def _known_units(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of at least these units; new ones go to the tokenizer."""
+        if len(self.units) >= CACHE_UNITS:
+            self.older_units, self.units = self.units, {" ": self.units[" "]}
+        new = units.difference(self.units)
+        self.units.update((u, self.older_units[u]) for u in new if u in self.older_units)
+        new = [u for u in new if u not in self.older_units]
+        self.units.update(zip(new, self._units(new), strict=True))
+        return self.units
+
+    def _known_words(self, words: list[str]) -> list[bytes]:
+        """Ids of these words; new ones go to the tokenizer, and all but long ones are remembered."""
         if len(self.cache) >= CACHE_WORDS:
             self.older, self.cache = self.cache, {}
-        cache, older, out = self.cache, self.older, {}
-        other, plain, units = [], [], set()
-        for raw in words:
-            if raw in older:
-                out[raw] = cache[raw] = older[raw]
-                continue
-            w = raw.decode()
-            if len(w) <= CACHE_CHARS and PLAIN.fullmatch(w):
-                parts = UNIT.findall(w.lower())
-                plain.append((raw, parts))
-                units.update(parts)
-            else:
-                other.append((raw, w))
-        ids = self.units
-        if new := [u for u in units if u not in ids]:
-            if len(ids) >= CACHE_WORDS:
-                ids.clear()
-                new = list(units)
-            ids.update(zip(new, self._units(new), strict=True))
-        for raw, parts in plain:
-            out[raw] = cache[raw] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[u] for u in parts])
-        if other:
-            for (raw, w), got in zip(other, self._full([w for _, w in other]), strict=True):
-                out[raw] = got
-                if len(w) <= CACHE_CHARS:
-                    cache[raw] = got
-        return out
+        out = {w: self.cache.get(w) or self.older.get(w) for w in words}
+        new = [w for w, ids in out.items() if ids is None]
+        out.update(zip(new, self._full(new), strict=True))
+        self.cache.update((w, out[w]) for w in words if len(w) <= CACHE_CHARS)
+        return [out[w] for w in words]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -154,11 +197,12 @@ def _cut(path: str, capacity: int, with_ids: bool):
         encoder = word_encoder(path)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            texts = pc.fill_null(b.column(1), "")
+            for lo, hi in _portions(texts):
                 out: list[tuple] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    data = np.frombuffer(encoder.encode(text or "") + struct.pack("<I", END_ID), "<u4")
+                found, at = encoder.encode_all(texts.slice(lo, hi - lo))
+                for d, doc_id in enumerate(b.column(0).slice(lo, hi - lo).to_pylist()):
+                    data = np.append(found[at[d] : at[d + 1]], np.array([END_ID], "<u4"))
                     for k, start in enumerate(range(0, len(data), capacity)):
                         p = data[start : start + capacity]
                         row = (uid, doc_id, k, start, len(p), zlib.crc32(p))
@@ -208,24 +252,32 @@ def refill(displaced: list[int], bins: list[list[int]], length: list[int], capac
     of its pieces they change places, so ever smaller pieces are left for best fit."""
     bins = [list(b) for b in bins]
     free = sorted((length[i], i) for i in displaced)
+    lengths = [n for n, _ in free]
     room = [capacity - sum(length[i] for i in b) for b in bins]
     for _ in range(REFILL_PASSES):
         changed = False
         for k in sorted((k for k, r in enumerate(room) if r), key=lambda k: room[k]):
-            items, best = bins[k], None
-            for out in (*((x,) for x in items), *combinations(items, 2)):
-                total = sum(length[x] for x in out)
-                at = bisect.bisect_right(free, (room[k] + total, len(length))) - 1
-                if at >= 0 and free[at][0] > total and (best is None or free[at][0] - total > best[0]):
-                    best = free[at][0] - total, at, out
-                    if best[0] == room[k]:
+            items, space, best = bins[k], room[k], None
+            sizes = [length[x] for x in items]
+            totals = [*sizes, *(a + b for a, b in combinations(sizes, 2))]
+            most = 0
+            for n, total in enumerate(totals):
+                at = bisect.bisect_right(lengths, space + total) - 1
+                if at >= 0 and lengths[at] - total > most:
+                    most = lengths[at] - total
+                    best = most, at, n
+                    if most == space:
                         break
             if best:
-                gain, at, out = best
+                gain, at, n = best
+                out = (items[n],) if n < len(items) else next(islice(combinations(items, 2), n - len(items), None))
                 _, i = free.pop(at)
+                lengths.pop(at)
                 for x in out:
                     items.remove(x)
-                    bisect.insort(free, (length[x], x))
+                    to = bisect.bisect_left(free, (length[x], x))
+                    free.insert(to, (length[x], x))
+                    lengths.insert(to, length[x])
                 items.append(i)
                 room[k] -= gain
                 changed = True

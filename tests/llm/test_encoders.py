@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -30,6 +31,34 @@ def test_word_encoder_equals_the_tokenizer(texts, monkeypatch):
         assert ids == encoder.tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_texts_are_encoded_together(texts, monkeypatch):
+    """Words are looked up once for many texts, whatever is forgotten between them."""
+    for name in ("CACHE_WORDS", "CACHE_UNITS"):
+        monkeypatch.setattr(packing, name, 20)
+    encoder = WordEncoder(tokenizer_path(TOKENIZER))
+    full, asked = encoder._units, []
+    monkeypatch.setattr(encoder, "_units", lambda units: asked.append(len(units)) or full(units))
+    for size in (1, 50, len(texts)):
+        for at in range(0, len(texts), size):
+            part = texts[at : at + size]
+            ids, ends = encoder.encode_all(pa.array(part))
+            assert len(ends) == len(part) + 1
+            for text, a, b in zip(part, ends, ends[1:], strict=False):
+                assert ids[a:b].tolist() == encoder.tok.encode(text, add_special_tokens=False).ids, text
+    before = len(asked)
+    encoder.encode_all(pa.array([f"and x{k % 7} the" for k in range(900)]))
+    assert len(asked) - before == 1  # one call for 900 texts
+    assert [len(x) for x in encoder.encode_all(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_portions_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_TEXTS", 3)
+    monkeypatch.setattr(packing, "BATCH_BYTES", 10)
+    texts = pa.array(["a", "b", "c", "d", "x" * 40, "e", "", "f" * 9, "g"])
+    assert list(packing._portions(texts)) == [(0, 3), (3, 4), (4, 5), (5, 8), (8, 9)]
+    assert list(packing._portions(pa.array([], pa.string()))) == []
+
+
 def test_piece_codec_equals_the_library(texts, monkeypatch):
     monkeypatch.setattr(piece_codec, "CACHE_ENTRIES", 50)
     codec, library = PieceCodec(model_path()), sentencepiece.SentencePieceProcessor(model_file=model_path())
