@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +41,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 _stored: list[str] | None = None
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+#: Removes the shuffle files of a query when it ends (else they stay until the driver's next collection).
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, so a
-    lost executor costs a re-read, and the plan after it knows the real size."""
-    path = new_path(df.sparkSession, name)
+    lost executor costs a re-read, and the plan after it knows the real size.
+    ``drop_shuffles`` frees the disk that its shuffles took."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     if _stored is not None:
         _stored.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true" if drop_shuffles else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
@@ -81,6 +92,18 @@ def once_per_worker(key: tuple, make):
     return kept[key]
 
 
+def portions(texts, most: int, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of an Arrow array of texts that are worked on together."""
+    first = size = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if k - first == most or (k > first and size + n > most_bytes):
+            yield first, k
+            first, size = k, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakes.llm.common import once_per_worker, store, table
+from quakes.llm.common import once_per_worker, portions, store, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -69,18 +69,6 @@ def _plain(text: str) -> bool:
         return False
 
 
-def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that are looked up together."""
-    first = size = 0
-    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
-        if k - first == BATCH_TEXTS or (k > first and size + n > BATCH_BYTES):
-            yield first, k
-            first, size = k, 0
-        size += n
-    if first < len(texts):
-        yield first, len(texts)
-
-
 class WordEncoder:
     """Ids of whole texts, from those of their distinct words.
 
@@ -198,7 +186,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
-            for lo, hi in _portions(texts):
+            for lo, hi in portions(texts, BATCH_TEXTS, BATCH_BYTES):
                 out: list[tuple] = []
                 found, at = encoder.encode_all(texts.slice(lo, hi - lo))
                 for d, doc_id in enumerate(b.column(0).slice(lo, hi - lo).to_pylist()):

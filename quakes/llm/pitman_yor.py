@@ -21,21 +21,27 @@ Words are keyed by their 64-bit XXH64; two words that share one would count as o
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakes.llm.common import store, table
+from quakes.llm import common
+from quakes.llm.common import portions, remove, scratch, table
 
 END = b" "  # cannot be a word; also the context before the first word
 DISCOUNT, STRENGTH = (0.5, 0.75), (1.0, 1.0)  # unigram restaurant, context restaurants
-CHUNK_DOCS = 500
+CHUNK_DOCS, CHUNK_BYTES = 4096, 8 << 20  # counted together, a longer text alone
+SEAT_ROWS = 200_000  # dishes seated together
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    return common.store(df, name, drop_shuffles=True)
 
 
 def word_id(word: bytes) -> int:
@@ -47,31 +53,39 @@ def token_ids(text: str | None) -> list[int]:
     return [word_id(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()] + [word_id(END)]
 
 
+def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, context and word of each token of ``texts``; context and word
+    as numbers into the ids that follow.  Each distinct word is hashed once."""
+    words = pc.ascii_split_whitespace(texts)
+    found = words.flatten().dictionary_encode()
+    lower = pc.ascii_lower(found.dictionary).dictionary_encode()
+    names = lower.dictionary.cast(pa.binary()).to_pylist()
+    ids = np.array([word_id(END), *map(word_id, names)], np.int64)  # the end is number 0
+    code = 1 + lower.indices.to_numpy(zero_copy_only=False)[found.indices.to_numpy(zero_copy_only=False)]
+    text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    if b"" in names:  # white space at a text's ends
+        kept = code != 1 + names.index(b"")
+        code, text = code[kept], text[kept]
+    ends = np.cumsum(np.bincount(text, minlength=len(texts)))
+    w, text = np.insert(code, ends, 0), np.insert(text, ends, np.arange(len(texts)))
+    return text, np.concatenate([[0], w[:-1]]), w, ids  # the end of a text is the context of the next one's first word
+
+
 def _bigrams(per_doc: bool):
     """Distinct (row, context, word) of each text, or (context, word) of a chunk of texts."""
-    start = word_id(END)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, CHUNK_DOCS):
-                part, total = b.slice(at, CHUNK_DOCS), Counter()
-                keys: list[int] = []
-                pairs: list[tuple[int, int]] = []
-                counts: list[int] = []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = token_ids(text)
-                    found = Counter(zip([start, *ids], ids, strict=False))
-                    if per_doc:
-                        keys += [key] * len(found)
-                        pairs += found.keys()
-                        counts += found.values()
-                    else:
-                        total.update(found)
-                if not per_doc:
-                    pairs, counts = list(total.keys()), list(total.values())
-                u, w = zip(*pairs, strict=True) if pairs else ((), ())
-                cols = {"u": pa.array(u, pa.int64()), "w": pa.array(w, pa.int64()), "n": pa.array(counts, pa.int32())}
-                yield pa.RecordBatch.from_pydict(({"row": pa.array(keys, pa.int64())} if per_doc else {}) | cols)
+            texts = pc.fill_null(b.column(1), "")
+            for first, last in portions(texts, CHUNK_DOCS, CHUNK_BYTES):
+                text, u, w, ids = _pairs(texts.slice(first, last - first))
+                # by context and word, so that neighbours share them and shuffles compress
+                many = last - first if per_doc else 1
+                key, counts = np.unique((u * len(ids) + w) * many + text % many, return_counts=True)
+                pairs, text = np.divmod(key, many)
+                cols = {"u": pa.array(ids[pairs // len(ids)]), "w": pa.array(ids[pairs % len(ids)]), "n": pa.array(counts, pa.int32())}
+                rows = {"row": b.column(0).slice(first, last - first).take(pa.array(text)).cast(pa.int64())} if per_doc else {}
+                yield pa.RecordBatch.from_pydict(rows | cols)
 
     return run
 
@@ -139,9 +153,22 @@ def _dish_keys(frame: pd.DataFrame, seed: int) -> np.ndarray:
     return keys
 
 
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames put together up to about SEAT_ROWS: seating takes a step for each table of
+    the fullest dish, whether few dishes are left by then or many."""
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        held.append(f)
+        if sum(map(len, held)) >= SEAT_ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _seat_rows(discount: float, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in _joined(frames):
             f = f.assign(t=seat(f["c"].to_numpy(), f["open"].to_numpy(), discount, _dish_keys(f, seed)))
             yield f.drop(columns="open")
 
@@ -178,40 +205,41 @@ class Model:
 def train(texts: DataFrame, samples: int = 2, burn_in: int = 1, seed: int = 11) -> Model:
     """``texts`` has ``row`` and ``text``; every row is read whole."""
     d, theta = DISCOUNT[1], STRENGTH[1]
-    pairs = texts.mapInArrow(_bigrams(False), "u long, w long, n int")
-    counts = store(pairs.groupBy("u", "w").agg(F.sum("n").alias("c")), "bigrams")
-    words = store(counts.groupBy("w").agg(F.sum("c").alias("k"), F.count("*").alias("kinds")), "words")
-    tokens, vocabulary = words.agg(F.sum("k"), F.count("*")).first()
-    tokens = tokens or 0
-    # dishes with one customer have one table in any seating: only their sums are needed
-    many = store(counts.where("c > 1"), "reseated")
-    ones_w = store(words.select("w", "kinds").join(many.groupBy("w").agg(F.count("*").alias("m")), "w", "left").select(
-        "w", (F.col("kinds") - F.coalesce("m", F.lit(0))).alias("ones")), "ones")
-    contexts = store(counts.groupBy("u").agg(F.sum("c").alias("cu"), F.count("*").alias("tu")), "contexts")
-    context_ones = contexts.select("u", "cu", "tu").join(
-        many.groupBy("u").agg(F.count("*").alias("m")), "u", "left"
-    ).select("u", "cu", (F.col("tu") - F.coalesce("m", F.lit(0))).alias("ones"))
-    context_ones = store(context_ones, "context_ones")
-    seating = many.withColumn("t", F.lit(1).cast("long"))
-    totals, top_tables = contexts, float(vocabulary or 0)
-    p1s, backs, seatings, unknown = [], [], [], []
-    for sweep in range(burn_in + samples):
-        customers = ones_w.join(seating.groupBy("w").agg(F.sum("t").alias("t")), "w", "left").select(
-            "w", (F.col("ones") + F.coalesce("t", F.lit(0))).alias("c")
-        )
-        p1, other, top_tables = _parent(customers, vocabulary or 0, top_tables, seed + 2 * sweep)
-        weight = (theta + d * F.col("tu")) * F.col("p1")
-        dishes = many.join(totals.select("u", "tu"), "u").join(p1, "w").select("u", "w", "c", weight.alias("open"))
-        seating = store(seat_dishes(dishes, d, seed + 2 * sweep + 1), "seating")
-        totals = context_ones.join(seating.groupBy("u").agg(F.sum("t").alias("t")), "u", "left").select(
-            "u", "cu", (F.col("ones") + F.coalesce("t", F.lit(0))).alias("tu")
-        )
-        totals = store(totals, "totals")
-        if sweep >= burn_in:
-            p1s.append(p1)
-            unknown.append(other)
-            backs.append(totals.select("u", "cu", ((theta + d * F.col("tu")) / (theta + F.col("cu"))).alias("back")))
-            seatings.append(seating)
+    with scratch() as made:  # not needed by the model
+        pairs = texts.mapInArrow(_bigrams(False), "u long, w long, n int")
+        counts = store(pairs.groupBy("u", "w").agg(F.sum("n").alias("c")), "bigrams")
+        words = store(counts.groupBy("w").agg(F.sum("c").alias("k"), F.count("*").alias("kinds")), "words")
+        tokens, vocabulary = words.agg(F.sum("k"), F.count("*")).first()
+        tokens = tokens or 0
+        # dishes with one customer have one table in any seating: only their sums are needed
+        many = store(counts.where("c > 1"), "reseated")
+        ones_w = store(words.select("w", "kinds").join(many.groupBy("w").agg(F.count("*").alias("m")), "w", "left").select(
+            "w", (F.col("kinds") - F.coalesce("m", F.lit(0))).alias("ones")), "ones")
+        contexts = store(counts.groupBy("u").agg(F.sum("c").alias("cu"), F.count("*").alias("tu")), "contexts")
+        context_ones = contexts.select("u", "cu", "tu").join(
+            many.groupBy("u").agg(F.count("*").alias("m")), "u", "left"
+        ).select("u", "cu", (F.col("tu") - F.coalesce("m", F.lit(0))).alias("ones"))
+        context_ones = store(context_ones, "context_ones")
+        seating = many.withColumn("t", F.lit(1).cast("long"))
+        totals, top_tables = contexts, float(vocabulary or 0)
+        p1s, backs, seatings, unknown = [], [], [], []
+        for sweep in range(burn_in + samples):
+            customers = ones_w.join(seating.groupBy("w").agg(F.sum("t").alias("t")), "w", "left").select(
+                "w", (F.col("ones") + F.coalesce("t", F.lit(0))).alias("c")
+            )
+            p1, other, top_tables = _parent(customers, vocabulary or 0, top_tables, seed + 2 * sweep)
+            weight = (theta + d * F.col("tu")) * F.col("p1")
+            dishes = many.join(totals.select("u", "tu"), "u").join(p1, "w").select("u", "w", "c", weight.alias("open"))
+            seating = store(seat_dishes(dishes, d, seed + 2 * sweep + 1), "seating")
+            totals = context_ones.join(seating.groupBy("u").agg(F.sum("t").alias("t")), "u", "left").select(
+                "u", "cu", (F.col("ones") + F.coalesce("t", F.lit(0))).alias("tu")
+            )
+            totals = store(totals, "totals")
+            if sweep >= burn_in:
+                p1s.append(p1)
+                unknown.append(other)
+                backs.append(totals.select("u", "cu", ((theta + d * F.col("tu")) / (theta + F.col("cu"))).alias("back")))
+                seatings.append(seating)
     for s in range(samples):
         words = words.join(p1s[s].withColumnRenamed("p1", f"p1_{s}"), "w")
     words = store(words.drop("kinds"), "word_model")
@@ -219,24 +247,27 @@ def train(texts: DataFrame, samples: int = 2, burn_in: int = 1, seed: int = 11)
     for s in range(samples):
         context = context.join(backs[s].select("u", F.col("back").alias(f"back_{s}")), "u")
     context = store(context, "context_model")
-    t = seatings[0].select("u", "w", F.col("t").alias("t_0"))
+    t = seatings[0].withColumnRenamed("t", "t_0")
     for s in range(1, samples):
         t = t.join(seatings[s].select("u", "w", F.col("t").alias(f"t_{s}")), ["u", "w"])
-    seen = counts.join(t, ["u", "w"], "left").join(context, "u").join(words, "w")
+    ones = counts.where("c = 1").select("u", "w", "c", *(F.lit(1).cast("long").alias(f"t_{s}") for s in range(samples)))
+    seen = t.select("u", "w", "c", *(f"t_{s}" for s in range(samples))).unionByName(ones).join(context, "u").join(words, "w")
     own = [
-        (F.col("c") - d * F.coalesce(f"t_{s}", F.lit(1))) / (theta + F.col("cu")) + F.col(f"back_{s}") * F.col(f"p1_{s}")
+        (F.col("c") - d * F.col(f"t_{s}")) / (theta + F.col("cu")) + F.col(f"back_{s}") * F.col(f"p1_{s}")
         for s in range(samples)
     ]
     seen = store(seen.select("u", "w", "k", (sum(own[1:], own[0]) / samples).alias("p")), "seen")
+    remove(texts.sparkSession, made)
     return Model(seen, context, words, unknown, tokens, vocabulary)
 
 
 def score(texts: DataFrame, m: Model) -> DataFrame:
     """``row, n_tokens, n_known, base_score, score`` of every text."""
     samples = len(m.unknown)
-    grams = store(texts.mapInArrow(_bigrams(True), "row long, u long, w long, n int"), "grams")
+    grams = texts.mapInArrow(_bigrams(True), "row long, u long, w long, n int")
     seen = m.seen.withColumnsRenamed({"u": "su", "w": "sw"})
-    met = store(grams.join(seen, (grams["u"] == seen["su"]) & (grams["w"] == seen["sw"]), "left").drop("su", "sw"), "met")
+    # a common context is a poor key to sort by: the hash of both words comes first
+    same = (F.xxhash64("u", "w") == F.xxhash64("su", "sw")) & (grams["u"] == seen["su"]) & (grams["w"] == seen["sw"])
 
     def sums(k: Column, p: Column) -> list[Column]:
         k = F.coalesce(k, F.lit(0))
@@ -249,8 +280,12 @@ def score(texts: DataFrame, m: Model) -> DataFrame:
             F.sum(n * F.log10(p)).alias("score"),
         ]
 
-    known = met.where(F.col("p").isNotNull()).groupBy("row").agg(*sums(F.col("k"), F.col("p")))
-    rest = met.where(F.col("p").isNull()).select("row", "u", "w", "n")
+    # known pairs are summed up by text, the others stay with their words
+    new = F.col("p").isNull()
+    met = grams.join(seen, same, "left").select("row", F.when(new, F.col("u")).alias("u"), F.when(new, F.col("w")).alias("w"), "n", "k", "p")
+    met = store(met.groupBy("row", "u", "w").agg(*sums(F.col("k"), F.col("p")), F.sum("n").alias("n")), "met")
+    known = met.where("u IS NULL").select("row", "n_tokens", "n_known", "base_score", "score")
+    rest = met.where("u IS NOT NULL").select("row", "u", "w", "n")
     rest = rest.join(m.contexts, "u", "left").join(m.words, "w", "left")
     p = [F.coalesce(f"back_{s}", F.lit(1.0)) * F.coalesce(f"p1_{s}", F.lit(m.unknown[s])) for s in range(samples)]
     fresh = rest.groupBy("row").agg(*sums(F.col("k"), sum(p[1:], p[0]) / samples))

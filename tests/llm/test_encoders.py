@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 
 from quakes.llm import packing, piece_codec
+from quakes.llm.common import portions
 from quakes.llm.packing import TOKENIZER, WordEncoder, tokenizer_path
 from quakes.llm.piece_codec import PieceCodec, model_path
 
@@ -51,12 +52,10 @@ def test_texts_are_encoded_together(texts, monkeypatch):
     assert [len(x) for x in encoder.encode_all(pa.array([], pa.string()))] == [0, 1]
 
 
-def test_portions_are_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "BATCH_TEXTS", 3)
-    monkeypatch.setattr(packing, "BATCH_BYTES", 10)
+def test_portions_are_bounded():
     texts = pa.array(["a", "b", "c", "d", "x" * 40, "e", "", "f" * 9, "g"])
-    assert list(packing._portions(texts)) == [(0, 3), (3, 4), (4, 5), (5, 8), (8, 9)]
-    assert list(packing._portions(pa.array([], pa.string()))) == []
+    assert list(portions(texts, 3, 10)) == [(0, 3), (3, 4), (4, 5), (5, 8), (8, 9)]
+    assert list(portions(pa.array([], pa.string()), 3, 10)) == []
 
 
 def test_piece_codec_equals_the_library(texts, monkeypatch):

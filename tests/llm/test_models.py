@@ -10,10 +10,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quakes.llm import page_text, piece_codec, pitman_yor, zip_archives
+from quakes.llm import common, page_text, piece_codec, pitman_yor, zip_archives
+
+from quakes.session import path_exists
 
 from .brute import words
 
@@ -101,6 +105,54 @@ def test_scores_do_not_depend_on_the_partitioning(spark):
     assert all(got[1][k] == pytest.approx(v, rel=1e-9) for k, v in got[0].items())
 
 
+def test_op2_counts_pairs_of_odd_texts(monkeypatch):
+    rng = random.Random(6)
+    parts = ["a", "A", "b", " ", " ", "\n", "\t", "\x85", "\xa0", "\x1c", "À", "à", "日", "'", "zz"]
+    texts = [None, "", " ", *("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(300)), "b " * 900]
+    rows = list(range(5, 5 + len(texts)))
+    batch = pa.record_batch({"row": pa.array(rows), "text": pa.array(texts)})
+    start, want = pitman_yor.word_id(pitman_yor.END), Counter()
+    for row, text in zip(rows, texts, strict=True):
+        ids = pitman_yor.token_ids(text)
+        want.update((row, u, w) for u, w in zip([start, *ids], ids, strict=False))
+    for docs, size in ((7, 1 << 20), (4096, 40), (4096, 1 << 20)):
+        monkeypatch.setattr(pitman_yor, "CHUNK_DOCS", docs)
+        monkeypatch.setattr(pitman_yor, "CHUNK_BYTES", size)
+        got = [r for b in pitman_yor._bigrams(True)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+        assert len(got) == len(want) and Counter({(r["row"], r["u"], r["w"]): r["n"] for r in got}) == want
+        both = Counter()
+        for b in pitman_yor._bigrams(False)(iter([batch])):
+            for r in b.to_pylist():
+                both[r["u"], r["w"]] += r["n"]
+        assert both == sum((Counter({(u, w): n}) for (_, u, w), n in want.items()), Counter())
+
+
+def test_op2_keeps_no_table_that_the_model_does_not_need(spark):
+    key = common.DROP_SHUFFLES
+    before = spark.conf.get(key, "false")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("row"), "text")
+    with common.scratch() as made:
+        m = pitman_yor.train(docs)
+    assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made if path_exists(spark, p)) == ["context_model", "seen", "word_model"]
+    assert spark.conf.get(key, "false") == before
+    with common.scratch() as made:
+        pitman_yor.score(docs, m).collect()
+    assert len(made) == 1  # pairs of texts are not stored before they meet the model
+
+
+def test_dishes_are_seated_alike_in_frames_of_any_size(monkeypatch):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"u": rng.integers(0, 9, 400), "w": np.arange(400), "c": rng.integers(1, 50, 400), "open": rng.random(400) * 4})
+    parts = [frame[k : k + 30] for k in range(0, 400, 30)]
+    got = []
+    for size in (1, 100, 1000):
+        monkeypatch.setattr(pitman_yor, "SEAT_ROWS", size)
+        out = list(pitman_yor._seat_rows(0.75, 5)(iter(parts)))
+        got.append((len(out), pd.concat(out, ignore_index=True)))
+    assert [n for n, _ in got] == [14, 4, 1]
+    assert got[0][1].equals(got[1][1]) and got[0][1].equals(got[2][1])
+
+
 def test_op2_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pitman_yor.lm_scores(none).count() == 0
