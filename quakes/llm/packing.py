@@ -43,12 +43,12 @@ PLAIN_BYTES = bytes(b for b in range(256) if b == 32 or PLAIN.fullmatch(chr(b)))
 UNIT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
 WORD_END = "</w>"
 CACHE_WORDS = 200_000  # in each of a task's two cache generations
-CACHE_UNITS = 400_000  # likewise of units
+CACHE_UNITS = 150_000  # likewise of units
 CACHE_CHARS = 48
 REFILL_PASSES = 4
 MOST_TASKS = 10_000
 BATCH_WORDS = 20_000  # encoded at a time, which bounds the tokenizer's memory
-BATCH_TEXTS, BATCH_BYTES = 4096, 8 << 20  # whose words are looked up together, a longer text alone
+BATCH_TEXTS, BATCH_BYTES = 4096, 4 << 20  # whose words are looked up together, a longer text alone
 SPACE_ID = (1 << 32) - 1  # of no token
 
 
