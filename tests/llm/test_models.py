@@ -140,6 +140,47 @@ def test_op2_keeps_no_table_that_the_model_does_not_need(spark):
     assert len(made) == 1  # pairs of texts are not stored before they meet the model
 
 
+def test_op2_stores_pairs_in_few_bytes_and_no_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    with common.scratch() as made:
+        pitman_yor.lm_scores(docs)
+    kept = {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: p for p in made if path_exists(spark, p)}
+    assert sorted(kept) == ["context_model", "scores", "seen", "word_model"]
+    train = docs.where(~pitman_yor.held_out()).select(F.lit(None).cast("long").alias("row"), "text")
+    pairs = train.mapInArrow(pitman_yor._bigrams(False), "u long, w long, n int").select("u", "w").distinct().count()
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept["seen"])
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    assert size < 8 * pairs  # two words alone have 16 bytes
+
+
+def test_op2_blocks_give_their_pairs_back():
+    rng = np.random.default_rng(12)
+    top = (1 << 31) - 1
+    for pairs in (
+        np.empty(0, np.int64),
+        np.array([0]),
+        np.array([5, 6, top << 32, top << 32 | top]),
+        np.unique(rng.integers(0, 40, 3000) << 32 | rng.integers(0, 90, 3000)),
+        np.unique(rng.integers(0, top, 3000) << 32 | rng.integers(0, top, 3000)),
+    ):
+        assert (pitman_yor._unpack_pairs(pitman_yor._pack_pairs(pairs)) == pairs).all()
+        order, at = pitman_yor._by_bucket(pairs, 7)
+        assert at[-1] == len(pairs) and sorted(order) == list(range(len(pairs)))
+        assert all((np.diff(pairs[order[i:j]]) > 0).all() for i, j in zip(at[:-1], at[1:], strict=True))
+
+
+def test_op2_scores_do_not_depend_on_rounds_and_chunks(spark, monkeypatch):
+    texts = ["a b a b c", "a b d", "a b d", "b a c a b", "d d d a", None, " x  y ", "", "A B"] * 3
+    docs = spark.createDataFrame([(i // 2 if i != 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = []
+    for rounds, size in ((1, 1 << 20), (3, 12)):
+        for name, value in (("TRAIN_ROUNDS", rounds), ("SCORE_ROUNDS", rounds), ("CODED_BYTES", size)):
+            monkeypatch.setattr(pitman_yor, name, value)
+        rows = pitman_yor.lm_scores(docs).collect()
+        got.append(sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows))
+    assert got[0] == got[1] and len(got[0]) == len(texts)
+
+
 def test_dishes_are_seated_alike_in_frames_of_any_size(monkeypatch):
     rng = np.random.default_rng(8)
     frame = pd.DataFrame({"u": rng.integers(0, 9, 400), "w": np.arange(400), "c": rng.integers(1, 50, 400), "open": rng.random(400) * 4})
