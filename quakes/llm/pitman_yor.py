@@ -509,18 +509,19 @@ def train(texts: DataFrame, samples: int = 2, burn_in: int = 1, seed: int = 11)
     with scratch() as made:  # not needed by the model
         counted = texts.select("row", "text").mapInArrow(_words, "w long, n long")
         words = _numbered(counted.groupBy("w").agg(F.sum("n").alias("k")))
+        spark, numbering = texts.sparkSession, made[:-1]
         tokens, vocabulary = words.agg(F.sum("k"), F.count("*")).first()
         tokens = tokens or 0
-        buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_TOKENS)
-        blocks = [
-            store(
-                _met(part, words.select("w", "code")).groupBy("chunk").applyInArrow(_training_blocks(buckets), "bucket int, pairs binary, n binary"),
-                "blocks",
-            )
-            for part in _rounds(texts, TRAIN_ROUNDS)
-        ]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_TOKENS)
+        pairs_of = _training_blocks(buckets)
+        with scratch() as passing:
+            blocks = [
+                store(_met(part, words.select("w", "code")).groupBy("chunk").applyInArrow(pairs_of, "bucket int, pairs binary, n binary"), "blocks")
+                for part in _rounds(texts, TRAIN_ROUNDS)
+            ]
         sent = reduce(DataFrame.union, blocks)
         counts = store(sent.groupBy("bucket").applyInArrow(_count_bucket, "bucket int, pairs binary, n binary"), "bigrams")
+        remove(spark, numbering + passing)
         # dishes with one customer have one table in any seating: only their sums are needed
         many = store(counts.mapInArrow(_many, "bucket int, a long, b long, c long"), "reseated")
         ones = counts.mapInArrow(_ones, "code long, ones_u long, ones_w long")
@@ -535,13 +536,17 @@ def train(texts: DataFrame, samples: int = 2, burn_in: int = 1, seed: int = 11)
 
         totals = sitting("a", "ones_u", "tu")
         p1s, backs, seatings, unknown = [], [], [], []
+        before: list[str] = []
         for sweep in range(burn_in + samples):
-            p1, other, top_tables = _parent(sitting("b", "ones_w", "c"), vocabulary or 0, top_tables, seed + 2 * sweep)
-            weight = (theta + d * F.col("tu")) * F.col("p1")
-            dishes = many.join(totals.select(F.col("code").alias("a"), F.col("w").alias("u"), "tu"), "a")
-            dishes = dishes.join(p1.withColumnRenamed("code", "b"), "b").select("bucket", "a", "b", "u", "w", "c", weight.alias("open"))
-            seating = store(seat_dishes(dishes, d, seed + 2 * sweep + 1).drop("u", "w"), "seating")
-            totals = store(sitting("a", "ones_u", "tu"), "totals")
+            with scratch() as now:
+                p1, other, top_tables = _parent(sitting("b", "ones_w", "c"), vocabulary or 0, top_tables, seed + 2 * sweep)
+                weight = (theta + d * F.col("tu")) * F.col("p1")
+                dishes = many.join(totals.select(F.col("code").alias("a"), F.col("w").alias("u"), "tu"), "a")
+                dishes = dishes.join(p1.withColumnRenamed("code", "b"), "b").select("bucket", "a", "b", "u", "w", "c", weight.alias("open"))
+                seating = store(seat_dishes(dishes, d, seed + 2 * sweep + 1).drop("u", "w"), "seating")
+                totals = store(sitting("a", "ones_u", "tu"), "totals")
+            remove(spark, before)  # of a sweep that is not averaged
+            before = now if sweep < burn_in else []
             if sweep >= burn_in:
                 p1s.append(p1)
                 unknown.append(other)
@@ -559,7 +564,7 @@ def train(texts: DataFrame, samples: int = 2, burn_in: int = 1, seed: int = 11)
     seated = reduce(DataFrame.union, [x.select("bucket", "a", "b", "t") for x in seatings])
     seen = counts.withColumn("samples", F.lit(samples)).groupBy("bucket").cogroup(seated.groupBy("bucket"))
     seen = store(seen.applyInArrow(_with_tables, "bucket int, pairs binary, n binary, t binary"), "seen")
-    remove(texts.sparkSession, made)
+    remove(spark, made)
     return Model(seen, context, word_model, unknown, tokens, vocabulary, buckets)
 
 
